@@ -40,11 +40,10 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> dict[i
 
 def join_unique(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
                 hot: dict[int, int] | None = None) -> DataFrame:
-    """Join to a side that has each key at most once.
+    """Join to a side that has each key at most once, or a fixed few times.
 
     Rows of hot keys on the left are joined by broadcasting their matches: at
-    most MAX_HOT rows, as the right side is unique per key. The rest is joined in
-    the usual way.
+    most MAX_HOT keys with those few rows each. The rest is joined in the usual way.
     """
     if hot is None:
         hot = hot_keys(left, on)
@@ -54,3 +53,8 @@ def join_unique(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
     cold = left.where(~is_hot).join(right.where(~is_hot), on, how)
     spread = left.where(is_hot).join(F.broadcast(right.where(is_hot)), on, how)
     return cold.unionByName(spread)
+
+
+def broadcast_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Mark a frame for broadcast if it is counted to be small; else leave it to a shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.operators.ordered import running_sums, values_at_positions
 from fieldmark.functions.values import nan_to_null
+from fieldmark.operators.ordered import running_sums, values_at_positions
+from fieldmark.session import settle
 
 
 def accuracy(label: str, predicted: str) -> Column:
@@ -42,10 +43,10 @@ def roc_auc(df: DataFrame, label: str, score: str, group: list[str] = (),
     if not group:
         df = df.withColumn("__all", F.lit(0))
     df = df.withColumn("__score", nan_to_null(F.col(score).cast("double")))
-    per_score = (df.where(F.col("__score").isNotNull() & F.col(label).isNotNull())
-                 .groupBy(*keys, "__score")
-                 .agg(F.count(F.when(F.col(label) == 1, 1)).alias("__pos"),
-                      F.count(F.when(F.col(label) != 1, 1)).alias("__neg")))
+    per_score = settle(df.where(F.col("__score").isNotNull() & F.col(label).isNotNull())
+                       .groupBy(*keys, "__score")
+                       .agg(F.count(F.when(F.col(label) == 1, 1)).alias("__pos"),
+                            F.count(F.when(F.col(label) != 1, 1)).alias("__neg")), "scores")
     run = running_sums(per_score, keys, ["__score"], {"__neg_upto": "__neg"}, limit)
     pos = F.col("__pos").cast("double")
     wins = F.sum(pos * (F.col("__neg_upto") - F.col("__neg") / 2))

@@ -6,6 +6,9 @@ each segment is a window partition of its own, and what a segment needs from
 those before it (the last few rows, a running total) is a small table. Split
 points come from a sample and decide only the balance, never the result: they
 are literals in the plan, so every task, also a repeated one, cuts alike.
+
+Finding the segments reads the frame: pass tables, or results kept by
+session.settle, or segments found on the table a frame was made from.
 """
 
 from __future__ import annotations
@@ -16,12 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.operators.hotkeys import MAX_HOT, hot_keys, join_unique, key_hash
-from fieldmark.session import rows_per_task
+from fieldmark.session import rows_per_task, settle
 
 _SEG, _HASH, _BOUNDS = "__segment", "__group_hash", "__bounds"
 _SAMPLE_PER_SEGMENT = 20
 
 
+FIND = "find"
+
+
 @dataclass
 class Segments:
     """Split points of the hot groups, one small row per group hash."""
@@ -91,9 +97,9 @@ def row_numbers(df: DataFrame, group: list[str], order: list[str], name: str = "
 
 
 def running_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str],
-                 limit: int | None = None) -> DataFrame:
+                 limit: int | None = None, segments=FIND) -> DataFrame:
     """Sums over the group up to and including the row; order must be unique."""
-    seg = find_segments(df, group, order, limit)
+    seg = find_segments(df, group, order, limit) if segments is FIND else segments
     if seg is None:
         w = _window(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({out: F.sum(c).over(w) for out, c in sums.items()})
@@ -113,9 +119,9 @@ def running_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[s
 
 
 def following_max(df: DataFrame, group: list[str], order: list[str], value: str, name: str,
-                  limit: int | None = None) -> DataFrame:
+                  limit: int | None = None, segments=FIND) -> DataFrame:
     """Largest value from the row to the end of its group."""
-    seg = find_segments(df, group, order, limit)
+    seg = find_segments(df, group, order, limit) if segments is FIND else segments
     if seg is None:
         w = _window(group).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
         return df.withColumn(name, F.max(value).over(w))
@@ -132,12 +138,12 @@ def following_max(df: DataFrame, group: list[str], order: list[str], value: str,
 
 def rolling_previous(df: DataFrame, group: list[str], order: list[str],
                      averages: dict[str, str], rows: int = 5,
-                     limit: int | None = None) -> DataFrame:
+                     limit: int | None = None, segments=FIND) -> DataFrame:
     """Averages over the `rows` rows before each row, the row itself excluded.
 
     The first row of a group has no earlier one and gets NULL. Order must be unique.
     """
-    seg = find_segments(df, group, order, limit)
+    seg = find_segments(df, group, order, limit) if segments is FIND else segments
     if seg is None:
         w = _window(group).orderBy(*order).rowsBetween(-rows, -1)
         return df.withColumns({out: F.avg(c).over(w) for out, c in averages.items()})
@@ -184,11 +190,13 @@ def values_at_positions(df: DataFrame, group: list[str], value: str,
     keys = group or ["__all"]
     if not group:
         df = df.withColumn("__all", F.lit(0))
-    counted = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-               .agg(F.count(F.lit(1)).alias("__n")))
+    counted = settle(df.where(F.col(value).isNotNull()).groupBy(*keys, value)
+                     .agg(F.count(F.lit(1)).alias("__n")), "value-counts")
+    seg = find_segments(counted, keys, [value], limit)
     totals = counted.groupBy(*keys).agg(F.sum("__n").alias("n"))
-    run = running_sums(counted, keys, [value], {"__upto": "__n"}, limit)
+    run = running_sums(counted, keys, [value], {"__upto": "__n"}, segments=seg)
     hits = [F.min(F.when(F.col("__upto") > pos, F.col(value))).alias(name)
             for name, pos in positions.items()]
-    out = join_unique(run, totals, keys, "inner").groupBy(*keys).agg(*hits)
+    hot = dict.fromkeys(seg.hashes) if seg else {}
+    out = join_unique(run, totals, keys, "inner", hot).groupBy(*keys).agg(*hits)
     return out if group else out.drop("__all")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldmark.functions.geometry import box_area, sport_angles, visible_points
 from fieldmark.functions.values import LABEL_SPLIT, LABEL_SPORT, path_key, to_number
 from fieldmark.operators.hotkeys import join_unique
-from fieldmark.operators.ordered import rolling_previous
+from fieldmark.operators.ordered import find_segments, rolling_previous
 from fieldmark.operators.quality import GAME_RULES, IMAGE_RULES, KEYPOINT_RULES
 
 
@@ -115,10 +115,13 @@ def team_game_features(games: DataFrame, previous: int = 5,
 
     `strength` may add one row of features per (sport, team, game_id).
     """
-    out = rolling_previous(games, ["sport", "team"], ["game_date", "game_id"], {
+    group, order = ["sport", "team"], ["game_date", "game_id"]
+    segments = find_segments(games, group, order)
+    if strength is not None:
+        games = join_unique(games, strength, ["sport", "team", "game_id"])
+    return rolling_previous(games, group, order, {
         "form_points_for": "points_for", "form_points_against": "points_against",
-        "form_win_rate": "win"}, previous)
-    return out if strength is None else join_unique(out, strength, ["sport", "team", "game_id"])
+        "form_win_rate": "win"}, previous, segments=segments)
 
 
 def team_strength(athletes: DataFrame) -> DataFrame:

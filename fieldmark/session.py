@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Largest number of rows of one key that is left to a single task. Keys beyond
 # it are split (see operators.hotkeys and operators.ordered).
@@ -55,3 +55,14 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, never used path below the shared folder."""
     return f"{shared_dir(spark)}/fieldmark/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    For results that are used several times: they are computed once, their
+    lineage ends here, and a lost executor loses none of them.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
