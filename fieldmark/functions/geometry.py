@@ -25,14 +25,12 @@ def point(pose: Column, name: str) -> tuple[Column, Column, Column]:
     return _num(pose, i), _num(pose, i + 1), _num(pose, i + 2)
 
 
-def joint_angle(pose: Column, vertex: str, a: str, b: str,
-                min_visibility: float | None = None) -> Column:
-    """Degrees at `vertex` between the directions to `a` and `b`.
+def _point_at(pose: Column, index: Column) -> tuple[Column, Column, Column]:
+    return tuple(F.get(pose, index * 3 + k).cast("double") for k in range(3))
 
-    NULL where a side has no length and, if asked, where a point is less visible
-    than `min_visibility`.
-    """
-    (vx, vy, vv), (ax, ay, av), (bx, by, bv) = (point(pose, n) for n in (vertex, a, b))
+
+def _angle(v, a, b, min_visibility: float | None) -> Column:
+    (vx, vy, vv), (ax, ay, av), (bx, by, bv) = v, a, b
     ux, uy, wx, wy = ax - vx, ay - vy, bx - vx, by - vy
     length = F.sqrt(ux * ux + uy * uy) * F.sqrt(wx * wx + wy * wy)
     cos = (ux * wx + uy * wy) / length
@@ -42,29 +40,49 @@ def joint_angle(pose: Column, vertex: str, a: str, b: str,
     return F.when(ok, F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))))
 
 
-def sport_angles(pose: Column, sport: Column, left_handed: Column | None = None,
-                 min_visibility: float | None = None) -> Column:
-    """array<struct<angle, deg>> with the angles of the row's sport.
+def joint_angle(pose: Column, vertex: str, a: str, b: str,
+                min_visibility: float | None = None) -> Column:
+    """Degrees at `vertex` between the directions to `a` and `b`.
+
+    NULL where a side has no length and, if asked, where a point is less visible
+    than `min_visibility`.
+    """
+    return _angle(*(point(pose, n) for n in (vertex, a, b)), min_visibility)
+
+
+def angle_triples(sport: Column, left_handed: Column | None = None) -> Column:
+    """array<struct<angle, vertex, a, b>> of the sport's angles, as point positions.
 
     For left-handed athletes both sides change places.
     """
-    def angles_of(spec, mirror: bool) -> Column:
+    def of(spec, mirror: bool) -> Column:
         side = mirrored_name if mirror else (lambda n: n)
         return F.array(*[
             F.struct(F.lit(name).alias("angle"),
-                     joint_angle(pose, *(side(n) for n in triple),
-                                 min_visibility=min_visibility).alias("deg"))
-            for name, triple in spec.angles.items()])
+                     *[F.lit(keypoint_index(side(n))).alias(k) for k, n in zip(("vertex", "a", "b"), tri)])
+            for name, tri in spec.angles.items()])
 
     out = None
     for key, spec in SPORTS.items():
-        value = angles_of(spec, False)
+        value = of(spec, False)
         if left_handed is not None:
-            value = F.when(left_handed, angles_of(spec, True)).otherwise(value)
+            value = F.when(left_handed, of(spec, True)).otherwise(value)
         out = F.when(sport == key, value) if out is None else out.when(sport == key, value)
     return out
 
 
+def triple_angle(pose: Column, triple: Column, min_visibility: float | None = None) -> Column:
+    """The angle of one entry of angle_triples."""
+    return _angle(*(_point_at(pose, triple[k]) for k in ("vertex", "a", "b")), min_visibility)
+
+
+def sport_angles(pose: Column, sport: Column, left_handed: Column | None = None,
+                 min_visibility: float | None = None) -> Column:
+    """array<struct<angle, deg>> with the angles of the row's sport."""
+    return F.transform(angle_triples(sport, left_handed), lambda t: F.struct(
+        t["angle"].alias("angle"), triple_angle(pose, t, min_visibility).alias("deg")))
+
+
 def angle_columns(pose: Column, sport: str, min_visibility: float | None = None) -> dict:
     """The angles of one sport, as name -> column."""
     return {name: joint_angle(pose, *triple, min_visibility=min_visibility)

@@ -145,16 +145,15 @@ def fit_preprocess(df: DataFrame, numeric: list[str], categorical: list[str],
     if cats:
         names = [f"__c{i}" for i in range(len(cats))]
         labels = [["=" + v for v in f.kept] + ([_RARE] if f.rare else []) for f in cats.values()]
-        spark = df.sparkSession
-        index = StringIndexerModel.from_arrays_of_labels(
-            labels, names, [f"{c}_i" for c in names], "keep")
-        sample = spark.createDataFrame([], ", ".join(f"{c} string" for c in names))
+        index = PipelineModel([StringIndexerModel.from_labels(ls, c, f"{c}_i", "keep")
+                               for c, ls in zip(names, labels)])
+        none = df.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in names))
         # The sizes come from the index columns' attributes; no data is read.
         hot = (OneHotEncoder(inputCols=[f"{c}_i" for c in names],
                              outputCols=[f"{c}_h" for c in names],
                              dropLast=True, handleInvalid="error")
-               .fit(index.transform(sample)))
-        stages += [index, hot]
+               .fit(index.transform(none)))
+        stages += [*index.stages, hot]
         numbered += [f"{c}_h" for c in names]
     stages.append(VectorAssembler(inputCols=numbered, outputCol=output))
     drop = [f"__n{i}" for i in range(len(nums))]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.functions.geometry import box_area, sport_angles, visible_points
+from fieldmark.functions.geometry import (angle_triples, box_area, sport_angles, triple_angle,
+                                          visible_points)
 from fieldmark.functions.values import LABEL_SPLIT, LABEL_SPORT, path_key, to_number
 from fieldmark.operators.hotkeys import join_unique
 from fieldmark.operators.ordered import find_segments, rolling_previous
@@ -102,11 +103,16 @@ def athlete_metrics(keypoints: DataFrame, roster: DataFrame | None = None,
     return out
 
 
-def angle_rows(keypoints: DataFrame) -> DataFrame:
-    """(sport, image_id, category_id, angle, deg), one row per angle of the sport."""
-    found = sport_angles(F.col("keypoints"), F.col("sport"))
-    return keypoints.select("sport", "image_id", "category_id", F.explode(found).alias("a")).select(
-        "sport", "image_id", "category_id", "a.angle", "a.deg")
+def angle_rows(keypoints: DataFrame, keys: list[str] = ("sport", "image_id", "category_id"),
+               left_handed: Column | None = None, min_visibility: float | None = None) -> DataFrame:
+    """(keys, angle, deg), one row per angle of the row's sport.
+
+    The few positions of the sport's angles are laid out first, so one short
+    expression serves all angles and stays in generated code.
+    """
+    triples = F.explode(angle_triples(F.col("sport"), left_handed)).alias("t")
+    return keypoints.select(*keys, "keypoints", triples).select(
+        *keys, "t.angle", triple_angle(F.col("keypoints"), F.col("t"), min_visibility).alias("deg"))
 
 
 def team_game_features(games: DataFrame, previous: int = 5,
