@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from fieldmark.catalog import boards, labels, refinement, shapes  # noqa: F401
+from fieldmark.catalog import boards, labels, learning, refinement, shapes, storage  # noqa: F401
 from fieldmark.catalog.base import ORACLES, QUERIES  # noqa: F401

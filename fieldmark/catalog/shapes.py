@@ -274,10 +274,12 @@ def _match_ctes_boxes() -> str:
 
 
 @query(_match_ctes_boxes() + """
-    SELECT image AS image_id, cat AS category_id, id AS det_id, t AS threshold, hit FROM flags""")
+    SELECT image AS image_id, cat AS category_id, id AS det_id, CAST(sum(hit) AS BIGINT) AS thresholds_hit
+    FROM flags GROUP BY ALL""")
 def box_matches(spark, sf):
-    """Which detection hits a truth at which overlap threshold."""
-    return det.match(*scored_boxes(Tables(spark, sf))).drop("score")
+    """At how many overlap thresholds every detection hits a truth."""
+    found = det.match(*scored_boxes(Tables(spark, sf)))
+    return found.groupBy("image_id", "category_id", "det_id").agg(F.sum("hit").alias("thresholds_hit"))
 
 
 @query(_match_ctes_boxes() + """

@@ -121,13 +121,17 @@ def running_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[s
 def following_max(df: DataFrame, group: list[str], order: list[str], value: str, name: str,
                   limit: int | None = None, segments=FIND) -> DataFrame:
     """Largest value from the row to the end of its group."""
+    # Running maximum in falling order: a frame that starts at the current row
+    # and has no end would be computed anew for every row.
+    falling = [F.col(o).desc() for o in order]
     seg = find_segments(df, group, order, limit) if segments is FIND else segments
     if seg is None:
-        w = _window(group).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+        w = _window(group).orderBy(*falling).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.max(value).over(w))
     tagged = seg.tag(df)
-    inner = _window(group + [_SEG]).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    after = _window(group).orderBy(_SEG).rowsBetween(1, Window.unboundedFollowing)
+    inner = (_window(group + [_SEG]).orderBy(*falling)
+             .rowsBetween(Window.unboundedPreceding, 0))
+    after = _window(group).orderBy(F.desc(_SEG)).rowsBetween(Window.unboundedPreceding, -1)
     carried = (tagged.where(seg.is_hot()).groupBy(*group, _SEG)
                .agg(F.max(value).alias("__t"))
                .select(*group, _SEG, F.max("__t").over(after).alias("__b")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import keyword_only
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -156,6 +156,7 @@ def fit_ica(df: DataFrame, k: int | None, input_col: str, output_col: str, seed:
     whiten = vectors[:, top] / np.sqrt(values[top])            # d x k
     white = settle(Projection.of(whiten, input_col, "z", shift=mean).transform(df)
                    .select(vector_to_array("z").alias("z")), "white")
+    white = white.persist(StorageLevel.MEMORY_AND_DISK)        # read once per round
 
     w = _decorrelate(np.random.default_rng(seed).normal(size=(k, k)))
     for _ in range(max_iter):
@@ -167,6 +168,7 @@ def fit_ica(df: DataFrame, k: int | None, input_col: str, output_col: str, seed:
             break
     unmix = whiten @ w.T                                       # d x k
     unmix = unmix[:, np.argsort(-np.abs(_fourth_moments(white, w) / n - 3.0))]
+    white.unpersist()
     signs = np.sign(unmix[np.argmax(np.abs(unmix), axis=0), range(k)])
     return PipelineModel([Projection.of(unmix * signs, input_col, output_col, shift=mean)])
 

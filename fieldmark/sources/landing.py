@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fieldmark.functions.values import GAME_SPORT, IMAGE_SPLIT, IMAGE_SPORT, path_key
 
-LABEL_SCHEMA = T.StructType.fromDDL(
+LABEL_SCHEMA = (
     "images array<struct<id: bigint, file_name: string, width: int, height: int>>, "
     "annotations array<struct<image_id: bigint, category_id: int, bbox: array<double>, "
     "keypoints: array<double>, num_keypoints: int>>")
 
-GAME_SCHEMA = T.StructType.fromDDL(
+FRAME_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+GAME_SCHEMA = (
     "game_id string, team string, opponent string, game_date string, points_for string, "
     "points_against string, off_efficiency string, def_efficiency string")
 
@@ -37,15 +38,15 @@ def labels(spark: SparkSession, path: str, stream: bool = False, multi_line: boo
 def frames(spark: SparkSession, path: str, stream: bool = False, glob: str = "*.jpg",
            max_files: int | None = None) -> DataFrame:
     """Image files by path, size and time. The content column is never read."""
-    df = (_reader(spark, stream, max_files).format("binaryFile").option("pathGlobFilter", glob)
-          .option("recursiveFileLookup", True).load(path))
+    df = (_reader(spark, stream, max_files).format("binaryFile").schema(FRAME_SCHEMA)
+          .option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path))
     return df.select(
         "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified_at"),
         path_key(F.col("path"), IMAGE_SPORT).alias("sport"),
         path_key(F.col("path"), IMAGE_SPLIT).alias("split"))
 
 
-def games(spark: SparkSession, path: str, stream: bool = False, schema: T.StructType = GAME_SCHEMA,
+def games(spark: SparkSession, path: str, stream: bool = False, schema: str = GAME_SCHEMA,
           max_files: int | None = None) -> DataFrame:
     """Game result CSV with a header; values stay text until bronze types them."""
     df = (_reader(spark, stream, max_files).schema(schema).option("header", True)
