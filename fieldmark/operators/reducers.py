@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from threading import Lock
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel, keyword_only
@@ -18,6 +20,10 @@ from pyspark.sql import functions as F
 from fieldmark.operators.preprocess import width
 from fieldmark.session import settle
 
+# The JVM's own eigenvalue routines keep state between calls and must not run
+# side by side in one driver.
+EIGEN_LOCK = Lock()
+
 REDUCERS = ["none", "pca", "ica", "random_projection"]
 
 
@@ -102,7 +108,9 @@ def fit_pca(df: DataFrame, k: int | None, input_col: str, output_col: str) -> Pi
     k = clamp_components(k, width(df, input_col))
     center = StandardScaler(inputCol=input_col, outputCol=f"{output_col}__centred",
                             withMean=True, withStd=False).fit(df)
-    pca = PCA(k=k, inputCol=f"{output_col}__centred", outputCol=output_col).fit(center.transform(df))
+    with EIGEN_LOCK:
+        pca = PCA(k=k, inputCol=f"{output_col}__centred", outputCol=output_col).fit(
+            center.transform(df))
     return PipelineModel([center, pca])
 
 
