@@ -7,6 +7,7 @@ values remain to be sorted. Only scalars come back to the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 EXACT_BELOW = 100_000    # values that one task may sort
 _ACCURACY = 20_000
+_MARGIN = 4.0 / _ACCURACY
 
 
 @dataclass
@@ -26,8 +28,8 @@ class _Search:
     below: int           # values < low
     inside: int          # values in [low, high]
     answer: object = None
-    margin: float = 4.0 / _ACCURACY
     trial: tuple | None = None
+    stalled: bool = False
 
     @property
     def range(self) -> Column:
@@ -78,35 +80,50 @@ def _sort_inside(df: DataFrame, searches: list[_Search]) -> None:
 
 
 def _narrow(df: DataFrame, searches: list[_Search]) -> None:
-    points = []
+    guided = [s for s in searches if not s.stalled]
+    if guided:
+        points = []
+        for s in guided:
+            share = (s.rank - s.below) / s.inside
+            points.append([max(0.0, share - _MARGIN), min(1.0, share + _MARGIN)])
+        row = df.agg(*[F.percentile_approx(F.when(s.range, s.expr), p, _ACCURACY).alias(f"q{i}")
+                       for i, (s, p) in enumerate(zip(guided, points))]).first()
+        for i, s in enumerate(guided):
+            low, high = row[f"q{i}"]
+            s.trial = (max(s.low, low - _slack(low)), min(s.high, high + _slack(high)))
     for s in searches:
-        share = (s.rank - s.below) / s.inside
-        points.append([max(0.0, share - s.margin), min(1.0, share + s.margin)])
-    row = df.agg(*[F.percentile_approx(F.when(s.range, s.expr), p, _ACCURACY).alias(f"q{i}")
-                   for i, (s, p) in enumerate(zip(searches, points))]).first()
-    for i, s in enumerate(searches):
-        s.trial = tuple(row[f"q{i}"])
+        if s.stalled:       # halve the range of values: this always comes to an end
+            s.trial = (s.low, _middle(s.low, s.high))
     counts = df.agg(*[c for i, s in enumerate(searches) for c in (
         F.count(F.when(s.range & (s.expr < F.lit(s.trial[0])), 1)).alias(f"b{i}"),
         F.count(F.when(s.range & (s.expr >= F.lit(s.trial[0])) & (s.expr <= F.lit(s.trial[1])), 1))
         .alias(f"i{i}"))]).first()
     for i, s in enumerate(searches):
-        below, inside = counts[f"b{i}"], counts[f"i{i}"]
-        if below < s.rank - s.below <= below + inside:
-            if inside == s.inside:          # no progress: the edges carry the weight
-                s.margin /= 8
-            s.low, s.high = s.trial
-            s.below, s.inside = s.below + below, inside
-        elif s.rank - s.below <= below:     # the sketch missed: keep the part that holds the rank
-            s.high, s.inside = s.trial[0], below + _at_edge(df, s, s.trial[0])
+        below, inside, wanted = counts[f"b{i}"], counts[f"i{i}"], s.rank - s.below
+        before = s.inside
+        if wanted <= below:
+            s.high, s.inside = _next(s.trial[0], -1), below
+        elif wanted <= below + inside:
+            (s.low, s.high), s.below, s.inside = s.trial, s.below + below, inside
         else:
-            edge = _at_edge(df, s, s.trial[1])
-            s.below, s.inside = s.below + below + inside - edge, s.inside - below - inside + edge
-            s.low = s.trial[1]
+            s.low, s.below = _next(s.trial[1], 1), s.below + below + inside
+            s.inside = before - below - inside
+        s.stalled = s.inside > before // 2
+
+
+def _slack(value):
+    """The sketch holds doubles: what a whole number beyond 2**53 may be off by."""
+    return 0 if isinstance(value, float) else max(0, 2 ** max(0, abs(value).bit_length() - 53) - 1)
+
+
+def _middle(low, high):
+    if isinstance(low, float):
+        return max(low, min(low / 2 + high / 2, math.nextafter(high, -math.inf)))
+    return low + (high - low) // 2
 
 
-def _at_edge(df: DataFrame, s: _Search, value) -> int:
-    return df.agg(F.count(F.when(s.range & (s.expr == F.lit(value)), 1))).first()[0]
+def _next(value, step: int):
+    return math.nextafter(value, step * math.inf) if isinstance(value, float) else value + step
 
 
 def medians(df: DataFrame, columns: dict[str, Column],
