@@ -72,7 +72,7 @@ def nearest(test: DataFrame, train: DataFrame, k: int = 7, features: str = "feat
     left = (te.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
     right = (tr.withColumn("block", F.pmod(F.xxhash64("tid"), F.lit(blocks)).cast("int"))
-             .withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).cast("long")))
+             .withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))))
 
     def per_pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
