@@ -174,15 +174,13 @@ def oks_pairs(spark, sf):
     FROM p q JOIN p a ON a.vec_id = q.vec_id + 1, k GROUP BY 1""")
 def mpjpe(spark, sf):
     """Mean joint distance of every embedding, read as 21 3D joints, to the next one."""
-    def joints(shift: int, prefix: str):
-        one = F.explode(F.array(*[
-            F.struct(F.lit(k).alias("joint"),
-                     *[(F.get("embedding", F.lit(3 * k + a)).cast("double") * 1000).alias(f"{prefix}{a}")
-                       for a in range(3)]) for k in range(21)])).alias("j")
-        return (Tables(spark, sf).embeddings.select((F.col("vec_id") - shift).alias("vec_id"), "label", one)
-                .select("vec_id", "label", "j.*"))
-
-    pairs = joints(0, "t").join(joints(1, "p").drop("label"), ["vec_id", "joint"])
+    df = Tables(spark, sf).embeddings.select("vec_id", "label", F.col("embedding").alias("t"))
+    nxt = df.select((F.col("vec_id") - 1).alias("vec_id"), F.col("t").alias("p"))
+    # Whole poses are joined, their joints laid out afterwards.
+    joints = F.explode(F.array(*[
+        F.struct(*[(F.get(c, F.lit(3 * k + a)).cast("double") * 1000).alias(f"{c}{a}")
+                   for c in ("t", "p") for a in range(3)]) for k in range(21)])).alias("j")
+    pairs = df.join(nxt, "vec_id").select("label", joints).select("label", "j.*")
     out = m.mean_joint_error(pairs, ["p0", "p1", "p2"], ["t0", "t1", "t2"], ["label"])
     return out.withColumn("mpjpe_mm", F.round("mpjpe_mm", 6))
 
@@ -279,7 +277,8 @@ def _match_ctes_boxes() -> str:
 def box_matches(spark, sf):
     """At how many overlap thresholds every detection hits a truth."""
     found = det.match(*scored_boxes(Tables(spark, sf)))
-    return found.groupBy("image_id", "category_id", "det_id").agg(F.sum("hit").alias("thresholds_hit"))
+    hits = F.aggregate("hit", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return found.select("image_id", "category_id", "det_id", hits.alias("thresholds_hit"))
 
 
 @query(_match_ctes_boxes() + """

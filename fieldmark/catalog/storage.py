@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldmark.catalog.base import SPORT_NAMES, Tables, pick, query, sql_pick
+from fieldmark.operators.hotkeys import join_unique
 from fieldmark.plans import refinement as r
 from fieldmark.registry import SWEEP_LAYERS, create_layers, table_name
 from fieldmark.session import scratch_path
@@ -203,7 +204,8 @@ def gold_refresh(spark, sf):
     """The manifest is written from part of the instances, then recomputed from all of them."""
     t, path = Tables(spark, sf), scratch_path(spark, "gold")
     images = t.orders.select(F.col("o_orderstatus").alias("sport"), F.col("o_orderkey").alias("image_id"))
-    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    rows = join_unique(t.lineitem, orders, ["l_orderkey"], "inner").select(
         F.col("o_orderstatus").alias("sport"), F.col("l_orderkey").alias("image_id"),
         F.col("l_quantity").alias("bbox_area"), F.col("l_quantity").cast("int").alias("num_visible_keypoints"),
         "l_linestatus")

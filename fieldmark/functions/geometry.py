@@ -149,8 +149,8 @@ def box_iou(p: Column, q: Column) -> Column:
     zero = F.lit(0.0)
     w = F.greatest(zero, F.least(px + pw, qx + qw) - F.greatest(px, qx))
     h = F.greatest(zero, F.least(py + ph, qy + qh) - F.greatest(py, qy))
-    joint = pw * ph + qw * qh - w * h
-    return F.when(joint > 0, w * h / joint).otherwise(zero)
+    # No CASE around it: what occurs twice is then computed once.
+    return F.coalesce(F.try_divide(w * h, pw * ph + qw * qh - w * h), zero)
 
 
 def pose_similarity(predicted: Column, truth: Column, area: Column) -> Column:
@@ -161,9 +161,10 @@ def pose_similarity(predicted: Column, truth: Column, area: Column) -> Column:
         dy = _num(predicted, 3 * i + 1) - _num(truth, 3 * i + 1)
         visible = _num(truth, 3 * i + 2) > 0
         spread = F.lit(2.0) * area * F.lit((2 * sigma) ** 2)
-        total = total + F.when(visible, F.exp(-(dx * dx + dy * dy) / spread)).otherwise(0.0)
+        near = F.exp(-F.try_divide(dx * dx + dy * dy, spread))       # NULL without an area
+        total = total + F.when(visible, near).otherwise(0.0)
         seen = seen + F.when(visible, 1).otherwise(0)
-    return F.when((seen > 0) & (area > 0), total / seen)
+    return F.try_divide(total, seen)
 
 
 def normalised_box(box: Column, width: Column, height: Column) -> list[Column]:

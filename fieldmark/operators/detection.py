@@ -32,7 +32,7 @@ def match(detections: DataFrame, truths: DataFrame, similarity: Similarity = box
 
     detections: image_id, category_id, det_id, score, shape
     truths:     image_id, category_id, truth_id, shape, area
-    result:     category_id, image_id, det_id, score, threshold, hit (0/1)
+    result:     category_id, image_id, det_id, score, hit (array of 0/1, one per threshold)
 
     In the order of their scores, detections take the most similar truth of
     their image and class that is still free (equals: the lower truth id).
@@ -58,13 +58,10 @@ def match(detections: DataFrame, truths: DataFrame, similarity: Similarity = box
                      .alias("taken")))
     # Neither side has more than `best` rows per key: no hot keys here.
     flagged = ranked.drop("shape").join(taken, _GROUP, "left")
-    flags = F.array(*[
-        F.struct(F.lit(t).alias("threshold"),
-                 F.coalesce(F.array_contains(F.get("taken", F.lit(i)), F.col("rank")), F.lit(False))
-                 .cast("int").alias("hit"))
-        for i, t in enumerate(thresholds)])
-    return (flagged.select("category_id", "image_id", "det_id", "score", F.explode(flags).alias("f"))
-            .select("category_id", "image_id", "det_id", "score", "f.threshold", "f.hit"))
+    hit = F.array(*[
+        F.coalesce(F.array_contains(F.get("taken", F.lit(i)), F.col("rank")), F.lit(False)).cast("int")
+        for i in range(len(thresholds))])
+    return flagged.select("category_id", "image_id", "det_id", "score", hit.alias("hit"))
 
 
 def _greedy(queue: Column, threshold: float) -> Column:
@@ -83,29 +80,40 @@ def _greedy(queue: Column, threshold: float) -> Column:
     return F.reduce(queue, start, step, lambda state: state["ranks"])
 
 
-def precision_recall(matches: DataFrame, truths: DataFrame, limit: int | None = None) -> DataFrame:
+def precision_recall(matches: DataFrame, truths: DataFrame, thresholds: list[float] = THRESHOLDS,
+                     limit: int | None = None) -> DataFrame:
     """One row per hit: its count so far, the precision there and the best precision from there on.
 
     result: category_id, threshold, truths, hits, precision, envelope
+
+    All thresholds share one ordering of the detections: they are columns side
+    by side in the windows and become rows only afterwards.
     """
     per_class = truths.groupBy("category_id").agg(F.count(F.lit(1)).alias("truths"))
-    keys = ["category_id", "threshold"]
-    order = ["__down", "image_id", "det_id"]
-    rows = matches.withColumns({"__down": -F.col("score"), "__one": F.lit(1).cast("bigint"),
-                                "hit": F.col("hit").cast("bigint")})
+    keys, order = ["category_id"], ["__down", "image_id", "det_id"]
+    at = range(len(thresholds))
+    rows = matches.select(
+        *keys, "image_id", "det_id", (-F.col("score")).alias("__down"), F.lit(1).cast("bigint").alias("__one"),
+        *[F.get("hit", F.lit(i)).cast("bigint").alias(f"__hit{i}") for i in at])
     seg = find_segments(rows, keys, order, limit)
-    run = running_sums(rows, keys, order, {"hits": "hit", "seen": "__one"}, segments=seg)
+    run = running_sums(rows, keys, order, {"__seen": "__one"} | {f"__n{i}": f"__hit{i}" for i in at},
+                       segments=seg)
     # Precision peaks at hits, and recall moves only there.
-    hits = (run.where(F.col("hit") == 1)
-            .select(*keys, *order, "hits", (F.col("hits") / F.col("seen")).alias("precision")))
-    curve = following_max(hits, keys, order, "precision", "envelope", segments=seg).drop(*order)
-    return curve.join(broadcast_small(per_class), "category_id")
+    run = run.withColumns({f"__p{i}": F.when(F.col(f"__hit{i}") == 1, F.col(f"__n{i}") / F.col("__seen"))
+                           for i in at})
+    curve = following_max(run, keys, order, {f"__e{i}": f"__p{i}" for i in at}, segments=seg)
+    points = F.explode(F.array(*[
+        F.struct(F.lit(t).alias("threshold"), F.col(f"__n{i}").alias("hits"),
+                 F.col(f"__p{i}").alias("precision"), F.col(f"__e{i}").alias("envelope"))
+        for i, t in enumerate(thresholds)])).alias("p")
+    return (curve.select(*keys, points).select(*keys, "p.*").where(F.col("precision").isNotNull())
+            .join(broadcast_small(per_class), "category_id"))
 
 
 def average_precision(matches: DataFrame, truths: DataFrame,
                       thresholds: list[float] = THRESHOLDS, limit: int | None = None) -> DataFrame:
     """(category_id, threshold, ap) for the classes that have truths."""
-    curve = precision_recall(matches, truths, limit)
+    curve = precision_recall(matches, truths, thresholds, limit)
 
     # Recall points reached by the k-th of n truths: those above (k-1)/n up to k/n,
     # in whole numbers; the first one also reaches recall 0.

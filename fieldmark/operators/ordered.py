@@ -118,26 +118,28 @@ def running_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[s
             .drop(_SEG, *[f"__b_{out}" for out in sums]))
 
 
-def following_max(df: DataFrame, group: list[str], order: list[str], value: str, name: str,
+def following_max(df: DataFrame, group: list[str], order: list[str], maxima: dict[str, str],
                   limit: int | None = None, segments=FIND) -> DataFrame:
-    """Largest value from the row to the end of its group."""
+    """Largest values from the row to the end of its group."""
     # Running maximum in falling order: a frame that starts at the current row
     # and has no end would be computed anew for every row.
     falling = [F.col(o).desc() for o in order]
     seg = find_segments(df, group, order, limit) if segments is FIND else segments
     if seg is None:
         w = _window(group).orderBy(*falling).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.max(value).over(w))
+        return df.withColumns({out: F.max(c).over(w) for out, c in maxima.items()})
     tagged = seg.tag(df)
     inner = (_window(group + [_SEG]).orderBy(*falling)
              .rowsBetween(Window.unboundedPreceding, 0))
     after = _window(group).orderBy(F.desc(_SEG)).rowsBetween(Window.unboundedPreceding, -1)
     carried = (tagged.where(seg.is_hot()).groupBy(*group, _SEG)
-               .agg(F.max(value).alias("__t"))
-               .select(*group, _SEG, F.max("__t").over(after).alias("__b")))
+               .agg(*[F.max(c).alias(f"__t_{out}") for out, c in maxima.items()])
+               .select(*group, _SEG, *[F.max(f"__t_{out}").over(after).alias(f"__b_{out}")
+                                       for out in maxima]))
     joined = _null_safe_join(tagged, carried, group + [_SEG])
-    return (joined.withColumn(name, F.greatest(F.max(value).over(inner), F.col("__b")))
-            .drop(_SEG, "__b"))
+    return (joined.withColumns({out: F.greatest(F.max(c).over(inner), F.col(f"__b_{out}"))
+                                for out, c in maxima.items()})
+            .drop(_SEG, *[f"__b_{out}" for out in maxima]))
 
 
 def rolling_previous(df: DataFrame, group: list[str], order: list[str],

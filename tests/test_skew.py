@@ -34,7 +34,7 @@ def test_windows(rows, expected, limit):
         "form": ordered.rolling_previous(rows, g, o, {"form": "v"}, limit=limit),
         "rn": ordered.row_numbers(rows, g, o, "rn", limit=limit),
         "run": ordered.running_sums(rows, g, o, {"run": "v"}, limit=limit),
-        "peak": ordered.following_max(rows, g, o, "v", "peak", limit=limit),
+        "peak": ordered.following_max(rows, g, o, {"peak": "v"}, limit=limit),
     }
     for name, df in frames.items():
         got = df.collect()
