@@ -217,3 +217,12 @@ def test_comparison(spark, tmp_path):
     assert [(r["run_id"], r["pose_map"], r["mpjpe_mm"]) for r in rows] == [("b", None, None)]
     with pytest.raises(RuntimeError):
         write_comparison(spark, df, "tennis", str(tmp_path / "cmp"))
+
+
+def test_mixture_with_fewer_rows_than_columns(spark):
+    """A covariance without full rank must not spoil the fit."""
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(12, 20)), rng.normal(size=(12, 20)) + 30])
+    out = _matrix(fit_clusters("gmm", _frame(spark, x), "features", "c", k=2).transform(_frame(spark, x)), "c")
+    found = out[:, 20:].argmax(axis=1)
+    assert len(set(found[:12])) == len(set(found[12:])) == 1 and found[0] != found[12]
