@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 EXACT_BELOW = 100_000    # values that one task may sort
 _ACCURACY = 20_000
 _MARGIN = 4.0 / _ACCURACY
+_VALUES_PER_JOB = 1_000_000
+_SKETCHES_PER_JOB = 64
 
 
 @dataclass
@@ -66,17 +68,30 @@ def values_at_ranks(df: DataFrame, columns: dict[str, Column],
         if small:
             _sort_inside(df, small)
         wide = [s for s in everyone if s.open]
-        if wide:
-            _narrow(df, wide)
+        for start in range(0, len(wide), _SKETCHES_PER_JOB):
+            _narrow(df, wide[start:start + _SKETCHES_PER_JOB])
     return {c: [s.answer for s in group] for c, group in searches.items()}
 
 
 def _sort_inside(df: DataFrame, searches: list[_Search]) -> None:
-    row = df.agg(*[
-        F.get(F.sort_array(F.collect_list(F.when(s.range, s.expr))), F.lit(s.rank - s.below - 1))
-        .alias(f"v{i}") for i, s in enumerate(searches)]).first()
-    for i, s in enumerate(searches):
-        s.answer = row[f"v{i}"]
+    """Sort what is left. Ranks in the same bracket share one list; a job holds a bounded number."""
+    brackets: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        brackets.setdefault((id(s.expr), s.low, s.high), []).append(s)
+    jobs, held = [[]], 0
+    for group in brackets.values():
+        if jobs[-1] and held + group[0].inside > _VALUES_PER_JOB:
+            jobs, held = [*jobs, []], 0
+        jobs[-1].append(group)
+        held += group[0].inside
+    for job in jobs:
+        lists = df.agg(*[F.sort_array(F.collect_list(F.when(g[0].range, g[0].expr))).alias(f"l{i}")
+                         for i, g in enumerate(job)])
+        row = lists.select(*[F.get(f"l{i}", F.lit(s.rank - s.below - 1)).alias(f"v{i}_{j}")
+                             for i, g in enumerate(job) for j, s in enumerate(g)]).first()
+        for i, g in enumerate(job):
+            for j, s in enumerate(g):
+                s.answer = row[f"v{i}_{j}"]
 
 
 def _narrow(df: DataFrame, searches: list[_Search]) -> None:
