@@ -215,6 +215,30 @@ def model_comparison(spark, sf):
     return comparison_rows(spark, runs(Tables(spark, sf)), SPORT_NAMES)
 
 
+@query(f"""WITH {_RUNS}, m(model_key, family, task, description) AS (VALUES {_MODEL_ROWS}),
+    b AS (SELECT sport, m.model_key, task, detect_map FROM f JOIN m ON m.model_key = f.model_key)
+    SELECT sport, model_key, CAST(row_number() OVER (ORDER BY task DESC, detect_map DESC NULLS LAST, sport, model_key)
+                                  AS INTEGER) AS place,
+           CAST(row_number() OVER (PARTITION BY sport ORDER BY task, detect_map DESC NULLS LAST, model_key)
+                AS INTEGER) AS place_in_sport FROM b""")
+def comparison_sorted(spark, sf):
+    """Places in the comparison, in both orders it is shown in.
+
+    The table has one row per sport and registered model, so few that its sorted
+    rows may be numbered on the driver.
+    """
+    board = comparison_rows(spark, runs(Tables(spark, sf)), SPORT_NAMES).select(
+        "sport", "model_key", "task", "pose_map", "detect_map")
+    ties = ["sport", "model_key"]
+    overall = [(r["sport"], r["model_key"]) for r in lb.sort_comparison(board, ties=ties).collect()]
+    seen, rows = {}, []
+    for r in lb.sort_comparison(board, by_sport=True, ties=ties).collect():
+        seen[r["sport"]] = seen.get(r["sport"], 0) + 1
+        key = (r["sport"], r["model_key"])
+        rows.append((*key, overall.index(key) + 1, seen[r["sport"]]))
+    return spark.createDataFrame(rows, "sport string, model_key string, place int, place_in_sport int")
+
+
 @query(f"""WITH {_RUNS}, m(model_key, family, task, description) AS (VALUES {_MODEL_ROWS})
     SELECT m.model_key, family, count(*) AS runs, round(avg(latency), 6) AS latency
     FROM r JOIN m ON m.model_key = r.model_key WHERE task = 'pose' GROUP BY ALL""")
