@@ -10,9 +10,12 @@ import numpy as np
 
 from fieldmark.llm.base import worker_state
 
-# Words whose ids a worker keeps; beyond that it starts anew (results do not depend on it).
-CACHED_WORDS = 600_000
+# Words and runs of letters whose ids a worker keeps; beyond that it starts anew (results do
+# not depend on it). Runs are fewer, and what is slow to encode.
+CACHED_WORDS, CACHED_RUNS = 500_000, 1_200_000
 
+# What str.split() takes for white space though Unicode (and so the tokenizer) does not.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile("[\x20\x09-\x0d]+")
 # Latin letters that are single, composed characters, and trailing punctuation.
 _PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:*#$%&]*)")
@@ -25,6 +28,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _split(text: str) -> list[str]:
+    return _SPACE.split(text) if any(c in text for c in _SEPARATORS) else text.split()
+
+
 class WordEncoder:
     """Ids of whole texts for a tokenizer that drops white space and splits at it.
 
@@ -39,6 +46,11 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(path)
+        # Ids whose piece is the end of a word, where the model marks those.
+        mark = getattr(self.model.model, "end_of_word_suffix", None) or "\0"
+        pieces = self.model.get_vocab()
+        self.ends = np.zeros(max(pieces.values()) + 1, bool)
+        self.ends[[i for piece, i in pieces.items() if piece.endswith(mark)]] = True
         self.words: dict[str, bytes] = {"": b""}
         self.runs: dict[str, bytes] = {"": b""}
 
@@ -46,6 +58,15 @@ class WordEncoder:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _ids_of_runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs that are one word each, from one encoding of them all: ids that end a word part them."""
+        ids = np.array(self.model.encode(" ".join(runs), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(runs) or ends[-1] != len(ids):
+            return self._ids(runs)
+        data, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
     def _learn(self, words: set[str]) -> None:
         plain, odd, runs = [], [], set()
         for w in words:
@@ -56,21 +77,23 @@ class WordEncoder:
             else:
                 odd.append(w)
         fresh = list(runs)
-        self.runs.update(zip(fresh, self._ids(fresh)))
+        for start in range(0, len(fresh), 4_000):
+            some = fresh[start:start + 4_000]
+            self.runs.update(zip(some, self._ids_of_runs(some)))
         self.words.update((w, self.runs[run] + self.runs[tail]) for w, run, tail in plain)
         self.words.update(zip(odd, self._ids(odd)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32 bit numbers; NULL is an empty text."""
-        split = [_SPACE.split(t) if t else [] for t in texts]
-        missing = {w for words in split for w in words if w not in self.words}
+        split = [_split(t) if t else [] for t in texts]
+        missing = set().union(*split).difference(self.words)
         if missing:
             self._learn(missing)
-        known = self.words
-        out = [b"".join([known[w] for w in words]) for words in split]
-        if len(known) > CACHED_WORDS:
+        known = self.words.__getitem__
+        out = [b"".join(map(known, words)) for words in split]
+        if len(self.words) > CACHED_WORDS:
             self.words = {"": b""}
-        if len(self.runs) > CACHED_WORDS:
+        if len(self.runs) > CACHED_RUNS:
             self.runs = {"": b""}
         return out
 
