@@ -16,7 +16,7 @@ K1, B = 1.2, 0.75
 # Documents of a shard and of a block within it.
 SHARD_DOCS, BLOCK_DOCS = 8_192, 64
 # Queries that meet a shard at once.
-QUERY_BLOCK = 512
+QUERY_BLOCK = 256
 
 _FIELDS = ["ids", "lengths", "terms", "ends", "postings", "counts"]
 
@@ -54,25 +54,33 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+def _sorted_terms(pairs: str, field: str):
+    return F.transform(pairs, lambda x: x[field])
+
+
 class Shard:
     """A shard in memory: postings by term and document, and the largest weight of each term in each block."""
 
     def __init__(self, row: dict, average: float):
         kinds = (np.int64, np.int64, np.uint64, np.int64, np.uint16, np.int32)
         self.ids, lengths, self.terms, self.ends, self.doc, counts = (np.frombuffer(row[f], k) for f, k in zip(_FIELDS, kinds))
-        norm = K1 * (1 - B + B * lengths / max(average, 1e-9))
-        self.weight = counts * (K1 + 1) / (counts + norm[self.doc])
+        self.counts, self.norm = counts, K1 * (1 - B + B * lengths / max(average, 1e-9))
         self.blocks = -(-len(self.ids) // BLOCK_DOCS)
         block = self.doc // BLOCK_DOCS
-        term = np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
         new = np.ones(len(block), bool)
-        new[1:] = (block[1:] != block[:-1]) | (term[1:] != term[:-1])
-        self.run_start = np.flatnonzero(new)
-        self.run_size = np.diff(self.run_start, append=len(block))
-        self.run_block = block[self.run_start].astype(np.int64)
-        self.run_max = np.maximum.reduceat(self.weight, self.run_start) if len(block) else np.empty(0)
+        new[1:] = block[1:] != block[:-1]
+        new[self.ends[:-1]] = True
+        self.run_start = np.flatnonzero(new).astype(np.int32)
+        self.run_size = np.diff(self.run_start, append=len(block)).astype(np.int32)
+        self.run_block = block[self.run_start]
+        self.run_max = np.maximum.reduceat(self.weight(slice(None)), self.run_start) if len(block) else np.empty(0)
         self.run_end = np.searchsorted(self.run_start, self.ends)
 
+    def weight(self, spots) -> np.ndarray:
+        """Weight of postings, without the term's idf."""
+        counts = self.counts[spots]
+        return counts * (K1 + 1) / (counts + self.norm[self.doc[spots]])
+
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(doc_id, score) of the best k documents that hold a term; equal scores at the end are all kept.
 
@@ -104,7 +112,7 @@ class Shard:
             some, factor = runs[low:upto[stop - 1]], gain[low:upto[stop - 1]]
             sizes = self.run_size[some]
             spots = _ranges(self.run_start[some], sizes)
-            score = np.bincount(self.doc[spots], weights=self.weight[spots] * np.repeat(factor, sizes))
+            score = np.bincount(self.doc[spots], weights=self.weight(spots) * np.repeat(factor, sizes))
             hit = np.flatnonzero(score > 0)
             best_doc, best = np.concatenate([best_doc, hit]), np.concatenate([best, score[hit]])
             if len(best) > k:
@@ -180,24 +188,28 @@ def search(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: st
           .join(wanted, "term"))
     idf = F.log1p((F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = settle(asked.join(df.select("term", idf.alias("idf")), "term").groupBy("query_id")
-                      .agg(F.sort_array(F.collect_list(F.struct(F.col("term"), F.col("idf")))).alias("terms")), "weights")
+                      .agg(F.sort_array(F.collect_list(F.struct(F.col("term"), F.col("idf")))).alias("pairs"))
+                      .select("query_id", _sorted_terms("pairs", "term").alias("terms"), _sorted_terms("pairs", "idf").alias("idfs")), "weights")
     blocks = max(1, -(-weighted.count() // QUERY_BLOCK))
     blocked = (weighted.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-               .agg(F.collect_list(F.struct("query_id", "terms")).alias("queries")))
+               .agg(F.collect_list(F.struct("query_id", "terms", "idfs")).alias("queries")))
     numbers = shards.select("shard", F.lit(1).alias("one"))
     # Every block of queries for every shard: (blocks x shards) rows, each joined with its shard.
     pairs = blocked.withColumn("one", F.lit(1)).join(F.broadcast(numbers) if count <= 100_000 else numbers, "one").drop("one")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = shard = None
         for batch in batches:
             for i in range(batch.num_rows):
-                shard = Shard({f: batch.column(f)[i].as_py() for f in _FIELDS}, average)
+                if batch.column("shard")[i].as_py() != number:
+                    shard = None  # one shard at a time
+                    number = batch.column("shard")[i].as_py()
+                    shard = Shard({f: batch.column(f)[i].as_py() for f in _FIELDS}, average)
                 asking = batch.column("queries").slice(i, 1).flatten()
                 ids, lists = asking.field("query_id").to_pylist(), asking.field("terms")
                 bounds = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))])
-                flat = lists.flatten()
-                term = flat.field("term").to_numpy(zero_copy_only=False).view(np.uint64)
-                idfs = flat.field("idf").to_numpy(zero_copy_only=False)
+                term = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                idfs = asking.field("idfs").flatten().to_numpy(zero_copy_only=False)
                 out = []
                 for q, low, high in zip(ids, bounds, bounds[1:]):
                     ascending = np.argsort(term[low:high])
@@ -205,7 +217,7 @@ def search(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: st
                     out.append((np.full(len(found), q, np.int64), found, score))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "doc_id", "score"])
 
-    found = pairs.join(shards.drop("docs", "words"), "shard").select("queries", *_FIELDS).mapInArrow(answer, "query_id long, doc_id long, score double")
+    found = pairs.join(shards.drop("docs", "words"), "shard").select("shard", "queries", *_FIELDS).mapInArrow(answer, "query_id long, doc_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"))
