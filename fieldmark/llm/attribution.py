@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.base import chunks
+from fieldmark.llm.base import chunks, in_arrow
 from fieldmark.llm.tokenizing import byte_encoder, vocabulary
 
 RULES = ("most", "first", "last")
@@ -97,4 +97,4 @@ def count_tokens(docs: DataFrame, text: str = "text", keep: list[str] = ("doc_id
 
     own = docs.select(*keep, F.col(text).cast("string").alias("__text"), *([F.col(cuts).cast("array<long>").alias("__cuts")] if cuts else []))
     kinds = dict(own.dtypes)
-    return own.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} long" for c in names[len(keep):])]))
+    return own.transform(in_arrow, run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} long" for c in names[len(keep):])]))

@@ -49,6 +49,17 @@ def worker_state(name: str, make):
     return getattr(store, name)
 
 
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow with batches of at most CHUNK_BYTES, as texts may be long.
+
+    Sets the session's limit, if it is higher: both sides of the pipe hold whole batches.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(str(conf.get(name)).rstrip("b") or 0) <= CHUNK_BYTES:
+        conf.set(name, f"{CHUNK_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of one piece stay below CHUNK_BYTES (or are a single row)."""
     for batch in batches:

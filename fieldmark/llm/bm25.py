@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.base import chunks, settle
+from fieldmark.llm.base import chunks, in_arrow, settle
 
 K1, B = 1.2, 0.75
 # Documents of a shard and of a block within it.
@@ -143,7 +143,7 @@ def _index(docs: DataFrame) -> DataFrame:
                     ids, found = [], []
         if ids:
             yield flush()
-    built = docs.mapInArrow(run, "docs long, words long, " + ", ".join(f"{f} binary" for f in _FIELDS))
+    built = docs.transform(in_arrow, run, "docs long, words long, " + ", ".join(f"{f} binary" for f in _FIELDS))
     return built.withColumn("shard", F.monotonically_increasing_id())
 
 
@@ -182,9 +182,9 @@ def search(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: st
 
     asked = (queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_text).cast("string").alias("text")).where("query_id is not null")
              .groupBy("query_id").agg(F.min("text").alias("text")))
-    asked = settle(asked.mapInArrow(terms_of, "query_id long, term long"), "terms")
+    asked = settle(asked.transform(in_arrow, terms_of, "query_id long, term long"), "terms")
     wanted = asked.select("term").distinct()
-    df = (shards.select("terms", "ends").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    df = (shards.select("terms", "ends").transform(in_arrow, frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
           .join(wanted, "term"))
     idf = F.log1p((F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = settle(asked.join(df.select("term", idf.alias("idf")), "term").groupBy("query_id")
@@ -193,18 +193,22 @@ def search(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: st
     blocks = max(1, -(-weighted.count() // QUERY_BLOCK))
     blocked = (weighted.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
                .agg(F.collect_list(F.struct("query_id", "terms", "idfs")).alias("queries")))
+    # Every block of queries goes to every shard. A shard's row comes first, the blocks after it.
     numbers = shards.select("shard", F.lit(1).alias("one"))
-    # Every block of queries for every shard: (blocks x shards) rows, each joined with its shard.
-    pairs = blocked.withColumn("one", F.lit(1)).join(F.broadcast(numbers) if count <= 100_000 else numbers, "one").drop("one")
+    asks = (blocked.withColumn("one", F.lit(1)).join(F.broadcast(numbers) if count <= 100_000 else numbers, "one")
+            .select("shard", F.lit(1).alias("part"), "queries", *[F.lit(None).cast("binary").alias(f) for f in _FIELDS]))
+    kind = asks.schema["queries"].dataType
+    dealt = (shards.select("shard", F.lit(0).alias("part"), F.lit(None).cast(kind).alias("queries"), *_FIELDS).unionByName(asks)
+             .repartition("shard").sortWithinPartitions("shard", "part"))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shard = None
+        shard = None
         for batch in batches:
             for i in range(batch.num_rows):
-                if batch.column("shard")[i].as_py() != number:
+                if batch.column("part")[i].as_py() == 0:
                     shard = None  # one shard at a time
-                    number = batch.column("shard")[i].as_py()
                     shard = Shard({f: batch.column(f)[i].as_py() for f in _FIELDS}, average)
+                    continue
                 asking = batch.column("queries").slice(i, 1).flatten()
                 ids, lists = asking.field("query_id").to_pylist(), asking.field("terms")
                 bounds = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))])
@@ -217,7 +221,7 @@ def search(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: st
                     out.append((np.full(len(found), q, np.int64), found, score))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "doc_id", "score"])
 
-    found = pairs.join(shards.drop("docs", "words"), "shard").select("shard", "queries", *_FIELDS).mapInArrow(answer, "query_id long, doc_id long, score double")
+    found = dealt.transform(in_arrow, answer, "query_id long, doc_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"))

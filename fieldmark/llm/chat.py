@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.base import chunks
+from fieldmark.llm.base import chunks, in_arrow
 
 # The template: START role \n text END \n
 START, END = "<|im_start|>", "<|im_end|>"
@@ -91,7 +91,7 @@ def format_turns(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
                                              ["conv_id", "turn", "piece", "loss_start", "loss_end"])
     own = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"),
                        F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
-    return own.mapInArrow(run, "conv_id long, turn long, piece string, loss_start long, loss_end long")
+    return own.transform(in_arrow, run, "conv_id long, turn long, piece string, loss_start long, loss_end long")
 
 
 def parse_piece(piece: str) -> tuple[str, str]:
@@ -141,4 +141,4 @@ def read_back(pieces: DataFrame) -> DataFrame:
             yield batch_of([row(state)])
 
     dealt = pieces.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_first(), "piece")
-    return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return dealt.transform(in_arrow, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

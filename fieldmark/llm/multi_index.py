@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.base import settle
+from fieldmark.llm.base import in_arrow, settle
 
 # Vectors the two codebooks are fitted on at most: those with the least hash of their id.
 FIT_ROWS = 20_000
@@ -150,7 +150,7 @@ def search(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "
                 cell = index.cells(_matrix(batch.column("v")))
                 yield pa.RecordBatch.from_arrays([batch.column("entry"), pa.array(cell.astype(np.int32)), batch.column("v")],
                                                  ["entry", "cell", "v"])
-    placed = settle(entries.select("entry", "v").mapInArrow(assign, f"entry long, cell int, v {kind}"), "cells")
+    placed = settle(entries.select("entry", "v").transform(in_arrow, assign, f"entry long, cell int, v {kind}"), "cells")
     held = np.zeros(cells, np.int64)
     for r in placed.groupBy("cell").count().collect():
         held[r["cell"]] = r["count"]
@@ -173,7 +173,7 @@ def search(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "
                 at = np.repeat(np.arange(part.num_rows), [len(f) for f in found])
                 yield pa.RecordBatch.from_arrays([part.column("query").take(pa.array(at)), pa.array(np.concatenate([*found, []]).astype(np.int32)),
                                                   part.column("v").take(pa.array(at))], ["query", "cell", "v"])
-    probes = settle(distinct.mapInArrow(visit, f"query long, cell int, v {kind}"), "probes")
+    probes = settle(distinct.transform(in_arrow, visit, f"query long, cell int, v {kind}"), "probes")
     asks = np.zeros(cells, np.int64)
     for r in probes.groupBy("cell").count().collect():
         asks[r["cell"]] = r["count"]
@@ -216,7 +216,7 @@ def search(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "
             yield out(best())
 
     found = (query_blocks.join(vector_blocks, ["cell", "block"]).select("entries", "queries")
-             .mapInArrow(rerank, "query long, entry long, score double"))
+             .transform(in_arrow, rerank, "query long, entry long, score double"))
     found = found.withColumn("n", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("n") <= k + 1)
     near = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     answers = (found.select("query", "entry", "score").join(entries.select("entry", "ids"), "entry")

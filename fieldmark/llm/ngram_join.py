@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.base import broadcast_if, chunks, settle
+from fieldmark.llm.base import broadcast_if, chunks, in_arrow, settle
 from fieldmark.llm.components import components
 
 WORDS = 5
@@ -101,7 +101,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
         for batch in chunks(batches, "text"):
             found = [shingles(t, words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), _longs(found)], ["key", "tokens"])
-    return docs.select("key", "text").mapInArrow(run, "key long, tokens array<long>")
+    return docs.select("key", "text").transform(in_arrow, run, "key long, tokens array<long>")
 
 
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
@@ -125,7 +125,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
                 [batch.column("key"), batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()),
                  pa.array([_digest(x) for x in sets], pa.int64()),
                  _longs([prefix(x, last, False, percent) if len(x) else x for x in sets])], ["key", "doc_id", "n", "set_id", "first"])
-    return docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, n long, set_id long, first array<long>")
+    return docs.select("key", "doc_id", "text").transform(in_arrow, run, "key long, doc_id long, n long, set_id long, first array<long>")
 
 
 def _whole(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
@@ -137,7 +137,7 @@ def _whole(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_digest(x) for x in sets], pa.int64()),
                  _longs([prefix(x, last, True, percent) if len(x) else x for x in sets]), _longs(sets)], ["set_id", "second", "tokens"])
-    return docs.select("key", "text").mapInArrow(run, "set_id long, second array<long>, tokens array<long>")
+    return docs.select("key", "text").transform(in_arrow, run, "set_id long, second array<long>, tokens array<long>")
 
 
 def _sizes_fit(a, b, percent: int) -> Column:

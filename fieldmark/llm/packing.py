@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.base import chunks
+from fieldmark.llm.base import chunks, in_arrow
 from fieldmark.llm.tokenizing import vocabulary, word_encoder
 
 CAPACITY = 2048
@@ -171,4 +171,4 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
                       F.spark_partition_id().cast("long").alias("part"))
-    return own.mapInArrow(run, PIECES)
+    return own.transform(in_arrow, run, PIECES)

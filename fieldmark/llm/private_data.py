@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.base import chunks, worker_state
+from fieldmark.llm.base import chunks, in_arrow, worker_state
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -233,8 +233,8 @@ def find_private(docs: DataFrame, text: str = "text", keep: list[str] = ("doc_id
     keep = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "__text"):
-            texts = batch.column("__text").to_pylist()
+        for batch in chunks(batches, read):
+            texts = batch.column(read).to_pylist()
             found = [private_spans(t) for t in texts]
             spans = pa.array([[{"kind": KINDS[k], "start": s, "end": e, "disguised": d} for s, k, e, d in x] for x in found], SPANS)
             columns = [batch.column(c) for c in keep] + [spans]
@@ -242,7 +242,9 @@ def find_private(docs: DataFrame, text: str = "text", keep: list[str] = ("doc_id
                 columns.append(pa.array([redact(t, x) for t, x in zip(texts, found)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, keep + list(output[:1 + redacted]))
 
-    own = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    # A text that is kept anyway is not sent twice.
+    read = text if text in keep and dict(docs.dtypes)[text] == "string" else "__text"
+    own = docs.select(*keep, *([] if read == text else [F.col(text).cast("string").alias("__text")]))
     kinds = dict(own.dtypes)
     schema = [f"`{c}` {kinds[c]}" for c in keep] + [f"`{output[0]}` array<struct<kind:string,start:bigint,end:bigint,disguised:boolean>>"]
-    return own.mapInArrow(run, ", ".join(schema + [f"`{output[1]}` string"] * redacted))
+    return own.transform(in_arrow, run, ", ".join(schema + [f"`{output[1]}` string"] * redacted))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.base import broadcast_if, chunks, settle, worker_state
+from fieldmark.llm.base import broadcast_if, chunks, in_arrow, settle, worker_state
 
 # Labelled documents of each class that the fit uses at most: those with the least hash of their id.
 FIT_ROWS = 4_000
@@ -138,7 +138,7 @@ def _vectors(docs: DataFrame, columns: list[str]) -> DataFrame:
             vectors = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), FEATURES).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [vectors], columns + ["features"])
     kinds = dict(docs.dtypes)
-    return docs.select(*columns, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", features array<float>")
+    return docs.select(*columns, "text").transform(in_arrow, run, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", features array<float>")
 
 
 def held_out(doc_id):
@@ -178,12 +178,14 @@ def score_quality(docs: DataFrame, ranker: Ranker, text: str = "text", keep: lis
     """
     keep = list(keep)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "__text"):
-            rows = np.array([features(t) for t in batch.column("__text").to_pylist()], np.float32)
+        for batch in chunks(batches, read):
+            rows = np.array([features(t) for t in batch.column(read).to_pylist()], np.float32)
             score = ranker.score(rows.astype(np.float64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep] + [pa.array(score), pa.array((score >= ACCEPT).astype(np.int32))],
                 keep + list(output))
-    own = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    # A text that is kept anyway is not sent twice.
+    read = text if text in keep and dict(docs.dtypes)[text] == "string" else "__text"
+    own = docs.select(*keep, *([] if read == text else [F.col(text).cast("string").alias("__text")]))
     kinds = dict(own.dtypes)
-    return own.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{output[0]}` double", f"`{output[1]}` int"]))
+    return own.transform(in_arrow, run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{output[0]}` double", f"`{output[1]}` int"]))
