@@ -179,7 +179,7 @@ def file_streams(spark, sf):
         F.col("value").cast("string").alias("points_for"), F.lit("0").alias("points_against"),
         F.lit(None).cast("string").alias("off_efficiency"), F.lit(None).cast("string").alias("def_efficiency"),
         F.col("event_type").alias("kind"))
-    for kind in ("click", "error", "purchase", "signup", "view"):
+    for kind, in games.select("kind").distinct().orderBy("kind").collect():
         games.where(F.col("kind") == kind).drop("kind").write.option("header", True).csv(f"{root}/games/{kind}")
         ingest.land(spark, root, out, ("games",))
     ingest.land(spark, root, out, ("frames",), frame_glob="*.txt")

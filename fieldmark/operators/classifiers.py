@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import SparkContext
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
@@ -83,6 +84,24 @@ def fourier_features(df: DataFrame, features: str, output: str, count: int, seed
                          wave=rng.uniform(0, 2 * np.pi, size=count))
 
 
+def _released(model):
+    """A model without its training summary, which holds the session (and so any observer set on it)."""
+    if getattr(model, "hasSummary", False):
+        model._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return model
+
+
+def _fit_stages(stages: list, df: DataFrame) -> PipelineModel:
+    """Like Pipeline.fit, but each model is released before anything transforms with it."""
+    fitted = []
+    for i, stage in enumerate(stages):
+        model = _released(stage.fit(df)) if isinstance(stage, Estimator) else stage
+        fitted.append(model)
+        if i < len(stages) - 1:
+            df = model.transform(df)
+    return PipelineModel(fitted)
+
+
 def fit(name: str, df: DataFrame, features: str = "features", key: str = "id", seed: int = 42,
         effort: Effort = FULL, rows: int | None = None):
     """Train on `features` and a 0/1 `label`."""
@@ -111,7 +130,7 @@ def fit(name: str, df: DataFrame, features: str = "features", key: str = "id", s
             maxIter=effort.network_iterations, seed=seed)]
     else:
         raise ValueError(f"unknown model {name!r}; known: {MODELS}")
-    return Fitted(Pipeline(stages=stages).fit(df))
+    return Fitted(_fit_stages(stages, df))
 
 
 def target_model(kind: str, features: str, label: str, rounds: int = 300, seed: int = 42):

@@ -16,23 +16,27 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 20_000
-_OUT = "id long, label double, neighbour long, distance double"
 
 
 def _best(test: np.ndarray, ids, train: np.ndarray, train_ids, labels, k: int) -> pd.DataFrame:
     """k nearest train rows of each test row (equal distances: the lower train id)."""
     k = min(k, len(train))
-    square = ((test ** 2).sum(1)[:, None] - 2.0 * test @ train.T + (train ** 2).sum(1)[None, :])
-    # A few spare candidates by the fast form, then exact distances among them.
-    spare = min(len(train), k + 8)
-    near = np.argpartition(square, spare - 1, axis=1)[:, :spare]
-    exact = ((test[:, None, :] - train[near]) ** 2).sum(2)
-    order = np.lexsort((train_ids[near], exact), axis=1)[:, :k]
-    rows = np.arange(len(test))[:, None]
-    chosen = near[rows, order]
+    middle = train.mean(0)     # far from the origin the fast form would lose its digits
+    a, b = test - middle, train - middle
+    lengths, own = (b ** 2).sum(1), (a ** 2).sum(1)
+    fast = own[:, None] - 2.0 * a @ b.T + lengths[None, :]
+    # Every row the rounding of the fast form allows among the k nearest is compared exactly.
+    slack = 1e-13 * (test.shape[1] + 8) * (own + lengths.max())
+    limit = np.partition(fast, k - 1, axis=1)[:, k - 1] + 2 * slack
+    row, near = np.nonzero(fast <= limit[:, None])
+    exact = ((test[row] - train[near]) ** 2).sum(1)
+    order = np.lexsort((np.unique(train_ids, return_inverse=True)[1][near], exact, row))
+    row, near, exact = row[order], near[order], exact[order]
+    first = np.searchsorted(row, np.arange(len(test)))
+    chosen = (first[:, None] + np.arange(k)).ravel()
     return pd.DataFrame({
-        "id": np.repeat(ids, k), "label": labels[chosen].ravel().astype(float),
-        "neighbour": train_ids[chosen].ravel(), "distance": exact[rows, order].ravel()})
+        "id": np.repeat(ids, k), "label": labels[near[chosen]].astype(float),
+        "neighbour": train_ids[near[chosen]], "distance": exact[chosen]})
 
 
 def _chunks(pdf: pd.DataFrame, size: int = 2_000):
@@ -45,13 +49,14 @@ def nearest(test: DataFrame, train: DataFrame, k: int = 7, features: str = "feat
             block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, label, neighbour, distance): the k nearest train rows per test row, squared distances."""
     spark = test.sparkSession
-    te = test.select(F.col(key).cast("long").alias("id"), vector_to_array(features).alias("x"))
-    tr = train.select(F.col(key).cast("long").alias("tid"), vector_to_array(features).alias("x"),
+    te = test.select(F.col(key).alias("id"), vector_to_array(features).alias("x"))
+    tr = train.select(F.col(key).alias("tid"), vector_to_array(features).alias("x"),
                       F.col(label).cast("double").alias("y"))
     size = tr.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
     if not size["n"]:
         raise ValueError("no rows to compare with")
 
+    out = f"id {dict(te.dtypes)['id']}, label double, neighbour {dict(tr.dtypes)['tid']}, distance double"
     if size["n"] * (size["d"] + 2) * 8 <= broadcast_bytes:
         rows = tr.toPandas()      # checked above to be small
         shared = spark.sparkContext.broadcast(
@@ -64,7 +69,7 @@ def nearest(test: DataFrame, train: DataFrame, k: int = 7, features: str = "feat
                     yield _best(np.stack(part["x"].to_numpy()), part["id"].to_numpy(),
                                 matrix, ids, labels, k)
 
-        return te.mapInPandas(per_batch, _OUT)
+        return te.mapInPandas(per_batch, out)
 
     block_rows = max(1, min(block_rows, broadcast_bytes // ((size["d"] + 2) * 8)))
     blocks = max(1, -(-size["n"] // block_rows))
@@ -76,15 +81,14 @@ def nearest(test: DataFrame, train: DataFrame, k: int = 7, features: str = "feat
 
     def per_pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "label": [], "neighbour": [], "distance": []}).astype(
-                {"id": "int64", "neighbour": "int64"})
+            return pd.DataFrame({"id": a["id"][:0], "label": np.empty(0), "neighbour": b["tid"][:0], "distance": np.empty(0)})
         matrix = np.stack(b["x"].to_numpy())
         return pd.concat([
             _best(np.stack(part["x"].to_numpy()), part["id"].to_numpy(), matrix,
                   b["tid"].to_numpy(), b["y"].to_numpy(), k) for part in _chunks(a)])
 
     near = (left.groupBy("tile", "block").cogroup(right.groupBy("tile", "block"))
-            .applyInPandas(per_pair, _OUT))
+            .applyInPandas(per_pair, out))
     w = Window.partitionBy("id").orderBy("distance", "neighbour")
     return near.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
 

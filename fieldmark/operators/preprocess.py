@@ -106,8 +106,14 @@ def fit_categories(df: DataFrame, columns: list[str],
     return out
 
 
-def _category_sql(c: str, fit: CategoryFit, alias: str | None) -> str:
+def _filled(c: str, fit: CategoryFit) -> str:
+    """The category as text; a missing one counts as the most frequent (equals: the smaller value)."""
     text = f"CAST(t.`{c}` AS STRING)"
+    return f"coalesce({text}, {_text(fit.kept[0])})" if fit.kept else text
+
+
+def _category_sql(c: str, fit: CategoryFit, alias: str | None) -> str:
+    text = _filled(c, fit)
     whens = ""
     if fit.kept:
         whens = f"WHEN {text} IN ({', '.join(_text(v) for v in fit.kept)}) THEN concat('=', {text}) "
@@ -121,8 +127,9 @@ def fit_preprocess(df: DataFrame, numeric: list[str], categorical: list[str],
                    scale: bool = True) -> PipelineModel:
     """The fitted steps from raw columns to one vector: numbers first, then categories.
 
-    Unseen categories give zeros. Values seen but rare share one column; they are
-    told from unseen ones by a join with the stored list, kept values never enter it.
+    Missing categories become the most frequent one, unseen categories give zeros. Values
+    seen but rare share one column; they are told from unseen ones by a join with the
+    stored list. Kept values match nothing there and are spread over all partitions.
     """
     nums = fit_numeric(df, numeric)
     cats = {c: f for c, f in fit_categories(df, categorical, max_categories).items()
@@ -134,10 +141,11 @@ def fit_preprocess(df: DataFrame, numeric: list[str], categorical: list[str],
         alias = None
         if fit.rare:
             alias = f"s{i}"
-            text = f"CAST(t.`{c}` AS STRING)"
+            text = _filled(c, fit)
             kept = ", ".join(_text(v) for v in fit.kept)
+            spread = f"concat('\\u0000', CAST(xxhash64({', '.join(f't.`{x}`' for x in [*numeric, *categorical])}) AS STRING))"
             joins.append(f"LEFT JOIN parquet.`{fit.seen_path}` {alias} "
-                         f"ON CASE WHEN {text} NOT IN ({kept}) THEN {text} END = {alias}.value")
+                         f"ON CASE WHEN {text} NOT IN ({kept}) THEN {text} ELSE {spread} END = {alias}.value")
         parts.append(f"{_category_sql(c, fit, alias)} AS __c{i}")
     numbered = [f"__n{i}" for i in range(len(nums))]
     stages = [SQLTransformer(

@@ -226,3 +226,42 @@ def test_mixture_with_fewer_rows_than_columns(spark):
     out = _matrix(fit_clusters("gmm", _frame(spark, x), "features", "c", k=2).transform(_frame(spark, x)), "c")
     found = out[:, 20:].argmax(axis=1)
     assert len(set(found[:12])) == len(set(found[12:])) == 1 and found[0] != found[12]
+
+
+def _points(spark, n=60):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(i, float(i % 2), Vectors.dense([i % 2 + i / 100, (i * 7 % 5) / 5])) for i in range(n)]
+    return spark.createDataFrame(rows, ["id", "label", "features"])
+
+
+@pytest.mark.parametrize("name", ["logistic_regression", "svm_rbf", "svm_linear", "random_forest", "mlp"])
+def test_classifiers_fit_in_an_observed_session(spark, name):
+    from pyspark.sql import Observation
+    from fieldmark.operators import classifiers
+    from fieldmark.operators.quality import Rules
+
+    Rules({"positive": "id > 0"}).observe(spark.range(10), Observation()).count()
+    few = classifiers.Effort(20, 20, 5, 3, 3, 20, 16)
+    points = _points(spark)
+    assert classifiers.fit(name, points, effort=few).predict(points).where("prediction = label").count() >= 50
+
+
+@pytest.mark.parametrize("limit", [10**9, 2_000])
+def test_equal_neighbours_go_to_the_lower_id(spark, limit):
+    from pyspark.ml.linalg import Vectors
+    from fieldmark.operators import neighbors
+
+    train = spark.createDataFrame([(f"k{i:03d}", 1.0, Vectors.dense([1e8, 1e8 + (i >= 200)])) for i in range(400)], ["id", "label", "features"])
+    test = spark.createDataFrame([("t", 0.0, Vectors.dense([1e8, 1e8]))], ["id", "label", "features"])
+    found = neighbors.nearest(test, train, 7, broadcast_bytes=limit).orderBy("distance", "neighbour").collect()
+    assert [r["neighbour"] for r in found] == [f"k{i:03d}" for i in range(7)]
+
+
+def test_missing_category_is_the_most_frequent(spark):
+    from fieldmark.operators.preprocess import fit_preprocess
+
+    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "c string").withColumn("x", F.lit(1.0))
+    out = fit_preprocess(df, ["x"], ["c"]).transform(df).select("c", "features").collect()
+    by = {r["c"]: r["features"].toArray().tolist() for r in out}
+    assert by[None] == by["a"] != by["b"]
