@@ -12,7 +12,7 @@ from fieldmark.llm.base import worker_state
 
 # Words and runs of letters whose ids a worker keeps; beyond that it starts anew (results do
 # not depend on it). Runs are fewer, and what is slow to encode.
-CACHED_WORDS, CACHED_RUNS = 500_000, 1_200_000
+CACHED_WORDS, CACHED_RUNS = 250_000, 500_000
 
 # What str.split() takes for white space though Unicode (and so the tokenizer) does not.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
