@@ -115,7 +115,7 @@ def search(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "
     in a result) and equal queries one search, so copies make no cell large. Entries of a
     cell are dealt into blocks, its queries too, and each pair of blocks is one matrix
     product. Only codebooks and entry counts of cells, both of fixed size, reach the
-    driver. A query visits cells until they hold `share` of all entries, at any size.
+    driver. A query visits cells until they hold `share` of all entries and k + 1 at least.
 
     Vectors that `usable` leaves out take no part, as queries or as neighbours, nor do
     vectors whose length is not the most common one. A repeated vec_id is a row of its
@@ -154,7 +154,7 @@ def search(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "
     held = np.zeros(cells, np.int64)
     for r in placed.groupBy("cell").count().collect():
         held[r["cell"]] = r["count"]
-    wanted = int(np.ceil(share * held.sum()))
+    wanted = max(k + 1, int(np.ceil(share * held.sum())))
     blocks = np.maximum(1, -(-held // BLOCK_VECTORS))
 
     def of_cell(values: np.ndarray, cell="cell"):
