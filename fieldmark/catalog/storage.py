@@ -178,9 +178,12 @@ def file_streams(spark, sf):
         F.lit("rest").alias("opponent"), F.date_format("ts", "yyyy-MM-dd").alias("game_date"),
         F.col("value").cast("string").alias("points_for"), F.lit("0").alias("points_against"),
         F.lit(None).cast("string").alias("off_efficiency"), F.lit(None).cast("string").alias("def_efficiency"),
-        F.col("event_type").alias("kind"))
-    for kind, in games.select("kind").distinct().orderBy("kind").collect():
-        games.where(F.col("kind") == kind).drop("kind").write.option("header", True).csv(f"{root}/games/{kind}")
+        F.col("event_type").alias("kind"), F.col("event_id").alias("note"))
+    # Every second kind has its columns the other way round and one more.
+    for i, (kind,) in enumerate(games.select("kind").distinct().orderBy("kind").collect()):
+        names = [c for c in games.columns if c != "kind"]
+        names = names[::-1] if i % 2 else names[:-1]
+        games.where(F.col("kind") == kind).select(*names).write.option("header", True).csv(f"{root}/games/{kind}")
         ingest.land(spark, root, out, ("games",))
     ingest.land(spark, root, out, ("frames",), frame_glob="*.txt")
     ingest.land(spark, root, out, ("frames", "games"), frame_glob="*.txt")

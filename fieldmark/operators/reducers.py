@@ -159,7 +159,7 @@ def fit_ica(df: DataFrame, k: int | None, input_col: str, output_col: str, seed:
     k = clamp_components(k, len(mean))
     values, vectors = np.linalg.eigh(cov * (n - 1) / n)
     top = np.argsort(values)[::-1][:k]
-    top = top[values[top] > 1e-12]
+    top = top[values[top] > 1e-12 * max(values[top[0]], 0.0)]   # relative: units do not matter
     k = len(top)
     whiten = vectors[:, top] / np.sqrt(values[top])            # d x k
     white = settle(Projection.of(whiten, input_col, "z", shift=mean).transform(df)

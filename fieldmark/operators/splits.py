@@ -17,9 +17,10 @@ from fieldmark.operators.selection import EXACT_BELOW, values_at_ranks
 _MAX_CLASSES = 200
 
 
-def position(key: str, seed: int | None) -> Column:
-    """What rows are ordered by: a hash of (seed, key), or the numeric key if seed is None."""
-    return F.col(key) if seed is None else F.xxhash64(F.lit(seed), F.col(key))
+def position(key: str | list[str], seed: int | None) -> Column:
+    """What rows are ordered by: a hash of (seed, key columns), or the numeric key if seed is None."""
+    names = [key] if isinstance(key, str) else key
+    return F.col(names[0]) if seed is None else F.xxhash64(F.lit(seed), *[F.col(n) for n in names])
 
 
 def class_sizes(df: DataFrame, label: str | None) -> dict:
@@ -64,7 +65,7 @@ def _first_of_class(df: DataFrame, label, key, seed, quota: dict, exact_below: i
     return out
 
 
-def row_cap(df: DataFrame, label: str, key: str, rows: int, seed: int | None = 42,
+def row_cap(df: DataFrame, label: str, key: str | list[str], rows: int, seed: int | None = 42,
             exact_below: int = EXACT_BELOW) -> DataFrame:
     """At most `rows` rows, classes in proportion; 0 switches the cap off."""
     sizes = class_sizes(df, label)
@@ -73,7 +74,7 @@ def row_cap(df: DataFrame, label: str, key: str, rows: int, seed: int | None = 4
     return df.where(_first_of_class(df, label, key, seed, share_out(sizes, rows), exact_below))
 
 
-def hold_out(df: DataFrame, label: str | None, key: str, share: float = 0.2,
+def hold_out(df: DataFrame, label: str | None, key: str | list[str], share: float = 0.2,
              seed: int | None = 42, exact_below: int = EXACT_BELOW) -> DataFrame:
     """Add `is_test`: ceil(share * rows) rows, classes in proportion unless label is None."""
     sizes = class_sizes(df, label)
@@ -90,7 +91,7 @@ def fold_sizes(sizes: dict, folds: int) -> dict:
     return out
 
 
-def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int | None = 42,
+def folds(df: DataFrame, label: str, key: str | list[str], k: int = 5, seed: int | None = 42,
           exact_below: int = EXACT_BELOW) -> DataFrame:
     """Add `fold` (0..k-1): fold sizes differ by at most one row, also within a class."""
     pos = position(key, seed)

@@ -43,19 +43,21 @@ def feature_columns(table: DataFrame, target: Target, strict: bool = False) -> l
 
 
 def train_target(table: DataFrame, target: Target, sport: str, models: str, aliases: str,
-                 runs_path: str | None = None, key: str | None = None, rounds: int = 300,
+                 runs_path: str | None = None, key: str | list[str] | None = None, rounds: int = 300,
                  strict: bool = False, seed: int = 42) -> dict:
     """Fit a target on one sport's rows, measure it on a fifth of them, save it as `prod`.
 
-    `key` names a column that tells the rows apart; rows without a label are left out.
+    `key` names the columns that tell the rows apart (if left out: all key columns of the
+    table and image_id, category_id); rows without a label are left out.
     """
     spark = table.sparkSession
     names = feature_columns(table, target, strict)
-    key = key or target.entity
+    key = [key] if isinstance(key, str) else key or [
+        c for c in table.columns if c in KEY_COLUMNS | {target.entity, "image_id", "category_id"}]
     rows = (table.where((F.col("sport") == sport) & F.col(target.label).isNotNull())
-            .select(key, F.col(target.label).cast("double").alias("label"), *names))
+            .select(*[F.col(c).alias(f"__key{i}") for i, c in enumerate(key)], F.col(target.label).cast("double").alias("label"), *names))
     stratify = "label" if target.kind == "classification" else None
-    data = settle(hold_out(rows, stratify, key, 0.2, seed), "target")
+    data = settle(hold_out(rows, stratify, [f"__key{i}" for i in range(len(key))], 0.2, seed), "target")
     train, test = data.where(~F.col("is_test")), data.where("is_test")
     steps = fit_preprocess(train, names, [], scale=False)
     model = target_model(target.kind, "features", "label", rounds, seed).fit(steps.transform(train))

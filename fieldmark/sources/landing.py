@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldmark.functions.values import GAME_SPORT, IMAGE_SPLIT, IMAGE_SPORT, path_key
 
@@ -48,10 +49,17 @@ def frames(spark: SparkSession, path: str, stream: bool = False, glob: str = "*.
 
 def games(spark: SparkSession, path: str, stream: bool = False, schema: str = GAME_SCHEMA,
           max_files: int | None = None) -> DataFrame:
-    """Game result CSV with a header; values stay text until bronze types them."""
-    df = (_reader(spark, stream, max_files).schema(schema).option("header", True)
+    """Game result CSV; values stay text until bronze types them.
+
+    Columns go by the names in each file's own header, in any order; absent ones are NULL.
+    `record` is the whole row as JSON, with the columns `schema` does not name. Numbers are
+    read as such, so a numeric game_id loses leading zeros.
+    """
+    df = (_reader(spark, stream, max_files).schema("v variant").option("header", True).option("singleVariantColumn", "v")
           .option("recursiveFileLookup", True).csv(path))
-    return (df.withColumn("sport", path_key(F.col("_metadata.file_path"), GAME_SPORT))
+    named = [F.try_variant_get("v", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in T.StructType.fromDDL(schema)]
+    df = df.select(*named, F.to_json("v").alias("record"), F.col("_metadata.file_path").alias("__file"))
+    return (df.withColumn("sport", path_key(F.col("__file"), GAME_SPORT)).drop("__file")
             .withColumn("ingested_at", F.current_timestamp()))
 
 

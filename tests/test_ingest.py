@@ -167,3 +167,13 @@ def test_batch_and_stream_readers_agree(spark, layers):
     batch = r.bronze_images(landing.labels(spark, f"{root}/labels")).drop("ingested_at")
     stream = ingest.read_layer(spark, f"{out}/bronze/images")
     assert batch.exceptAll(stream).count() == 0 and stream.exceptAll(batch).count() == 0
+
+
+def test_games_go_by_header(spark, tmp_path):
+    (tmp_path / "games/golf").mkdir(parents=True)
+    (tmp_path / "games/golf/a.csv").write_text("team,weather,points_against,game_id,points_for\nA,rain,1,g1,3\n")
+    (tmp_path / "games/golf/b.csv").write_text("game_id,team,points_for,points_against\ng1,B,1,3\n")
+    rows = {x["team"]: x for x in landing.games(spark, str(tmp_path)).collect()}
+    assert [(rows[t]["game_id"], rows[t]["points_for"], rows[t]["points_against"], rows[t]["opponent"]) for t in "AB"] == [
+        ("g1", "3", "1", None), ("g1", "1", "3", None)]
+    assert '"weather":"rain"' in rows["A"]["record"] and rows["A"]["sport"] == "golf"

@@ -96,3 +96,8 @@ def test_grid(spark):
     frame = grid_frame(spark.createDataFrame([("d",), ("d",)], "dataset string"), cfg)
     assert {Cell(*r) for r in frame.collect()} == set(cells) and frame.count() == 12
     assert Cell("d", "none", None, "none", "knn").name == "d|none|k-1|none|knn"
+
+
+def test_hold_out_tells_rows_of_one_entity_apart(spark):
+    df = spark.range(1000).selectExpr("'A' AS team", "id AS game_id", "id % 2 AS label")
+    assert splits.hold_out(df, "label", ["team", "game_id"], 0.2).where("is_test").count() == 200
