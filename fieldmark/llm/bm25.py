@@ -15,8 +15,9 @@ from fieldmark.llm.base import chunks, in_arrow, settle
 K1, B = 1.2, 0.75
 # Documents of a shard and of a block within it.
 SHARD_DOCS, BLOCK_DOCS = 8_192, 64
-# Queries that meet a shard at once.
+# Queries that meet a shard at once, and shards that a task holds while the queries pass.
 QUERY_BLOCK = 256
+GROUP_SHARDS = 4
 
 _FIELDS = ["ids", "lengths", "terms", "ends", "postings", "counts"]
 
@@ -81,9 +82,11 @@ class Shard:
         counts = self.counts[spots]
         return counts * (K1 + 1) / (counts + self.norm[self.doc[spots]])
 
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """(doc_id, score) of the best k documents that hold a term; equal scores at the end are all kept.
 
+        `floor` is a score that k documents of other shards are known to reach; lower ones may be left out.
+
         Blocks are visited by decreasing bound, the sum of their terms' largest weights;
         once k scores are known, blocks whose bound is below the least of them are skipped.
         """
@@ -104,7 +107,7 @@ class Shard:
         order = np.argsort(place[block], kind="stable")
         runs, gain, upto = runs[order], gain[order], np.cumsum(np.bincount(place[block], minlength=self.blocks))
         sorted_bound = bound[visit]
-        best_doc, best, threshold, start, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, 2
+        best_doc, best, threshold, start, step = np.empty(0, np.int64), np.empty(0), floor, 0, 2
         # sums of bounds and scores may differ by rounding
         while start < self.blocks and sorted_bound[start] > 0 and sorted_bound[start] * (1 + 1e-9) >= threshold:
             stop = min(start + step, int(np.searchsorted(-sorted_bound * (1 + 1e-9), -threshold, "right")))
@@ -116,7 +119,7 @@ class Shard:
             hit = np.flatnonzero(score > 0)
             best_doc, best = np.concatenate([best_doc, hit]), np.concatenate([best, score[hit]])
             if len(best) > k:
-                threshold = np.partition(best, len(best) - k)[len(best) - k]
+                threshold = max(threshold, np.partition(best, len(best) - k)[len(best) - k])
                 keep = best >= threshold
                 best_doc, best = best_doc[keep], best[keep]
             start, step = stop, step * 2
@@ -154,8 +157,8 @@ def search(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: st
     Words are lower-cased (A-Z) runs without ASCII white space; a query is the set of the
     words of its whole text. Document frequencies, number and mean length are those of
     all documents, so every shard scores alike and the union of the shards' results holds
-    the exact answer. Blocks of queries meet every shard; what a task holds is one shard
-    and one block. Only documents that share a word are found; ties go to the smaller doc_id.
+    the exact answer. Blocks of queries meet every group of GROUP_SHARDS shards; what a task
+    holds is one group and one block, and the scores found in one shard of a group prune the next. Only documents that share a word are found; ties go to the smaller doc_id.
 
     NULL and empty texts are documents of length 0 that nothing finds, and queries
     without results; NULL doc_ids are left out; repeated rows are documents (queries) of
@@ -186,38 +189,48 @@ def search(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: st
     wanted = asked.select("term").distinct()
     df = (shards.select("terms", "ends").transform(in_arrow, frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
           .join(wanted, "term"))
-    idf = F.log1p((F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = settle(asked.join(df.select("term", idf.alias("idf")), "term").groupBy("query_id")
-                      .agg(F.sort_array(F.collect_list(F.struct(F.col("term"), F.col("idf")))).alias("pairs"))
-                      .select("query_id", _sorted_terms("pairs", "term").alias("terms"), _sorted_terms("pairs", "idf").alias("idfs")), "weights")
+    weighted = settle(asked.join(df, "term").groupBy("query_id")
+                      .agg(F.sort_array(F.collect_list(F.struct(F.col("term"), F.col("df")))).alias("pairs"))
+                      .select("query_id", _sorted_terms("pairs", "term").alias("terms"), _sorted_terms("pairs", "df").alias("dfs")), "weights")
     blocks = max(1, -(-weighted.count() // QUERY_BLOCK))
     blocked = (weighted.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-               .agg(F.collect_list(F.struct("query_id", "terms", "idfs")).alias("queries")))
-    # Every block of queries goes to every shard. A shard's row comes first, the blocks after it.
-    numbers = shards.select("shard", F.lit(1).alias("one"))
-    asks = (blocked.withColumn("one", F.lit(1)).join(F.broadcast(numbers) if count <= 100_000 else numbers, "one")
-            .select("shard", F.lit(1).alias("part"), "queries", *[F.lit(None).cast("binary").alias(f) for f in _FIELDS]))
+               .agg(F.collect_list(F.struct("query_id", "terms", "dfs")).alias("queries")))
+    # Every block of queries goes to every group of shards. A group's shards come first, the blocks after them.
+    numbers = shards.select("shard", F.expr(f"(row_number() OVER (ORDER BY shard) - 1) div {GROUP_SHARDS}").alias("batch"))
+    groups = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((count - 1) // GROUP_SHARDS).cast("long")))
+    asks = blocked.select(groups.alias("batch"), F.lit(1).alias("part"), "queries", *[F.lit(None).cast("binary").alias(f) for f in _FIELDS])
     kind = asks.schema["queries"].dataType
-    dealt = (shards.select("shard", F.lit(0).alias("part"), F.lit(None).cast(kind).alias("queries"), *_FIELDS).unionByName(asks)
-             .repartition("shard").sortWithinPartitions("shard", "part"))
+    dealt = (shards.join(F.broadcast(numbers) if count <= 100_000 else numbers, "shard")
+             .select("batch", F.lit(0).alias("part"), F.lit(None).cast(kind).alias("queries"), *_FIELDS).unionByName(asks)
+             .repartition("batch").sortWithinPartitions("batch", "part"))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = None
+        held, group = [], None
         for batch in batches:
             for i in range(batch.num_rows):
                 if batch.column("part")[i].as_py() == 0:
-                    shard = None  # one shard at a time
-                    shard = Shard({f: batch.column(f)[i].as_py() for f in _FIELDS}, average)
+                    number = batch.column("batch")[i].as_py()
+                    if number != group:
+                        held, group = [], number  # one group at a time
+                    held.append(Shard({f: batch.column(f)[i].as_py() for f in _FIELDS}, average))
                     continue
                 asking = batch.column("queries").slice(i, 1).flatten()
                 ids, lists = asking.field("query_id").to_pylist(), asking.field("terms")
                 bounds = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))])
                 term = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                idfs = asking.field("idfs").flatten().to_numpy(zero_copy_only=False)
+                df = asking.field("dfs").flatten().to_numpy(zero_copy_only=False)
+                idfs = np.log1p((total - df + 0.5) / (df + 0.5))
                 out = []
                 for q, low, high in zip(ids, bounds, bounds[1:]):
                     ascending = np.argsort(term[low:high])
-                    found, score = shard.search(term[low:high][ascending], idfs[low:high][ascending], k)
+                    terms, idf = term[low:high][ascending], idfs[low:high][ascending]
+                    found, score, floor = np.empty(0, np.int64), np.empty(0), 0.0
+                    for shard in held:
+                        more = shard.search(terms, idf, k, floor)
+                        found, score = np.concatenate([found, more[0]]), np.concatenate([score, more[1]])
+                        if len(found) >= k:
+                            best = np.lexsort((found, -score))[:k]
+                            found, score, floor = found[best], score[best], score[best[-1]]
                     out.append((np.full(len(found), q, np.int64), found, score))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "doc_id", "score"])
 
