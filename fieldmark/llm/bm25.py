@@ -14,7 +14,7 @@ from fieldmark.llm.base import chunks, in_arrow, settle
 
 K1, B = 1.2, 0.75
 # Documents of a shard and of a block within it.
-SHARD_DOCS, BLOCK_DOCS = 8_192, 64
+SHARD_DOCS, BLOCK_DOCS = 8_192, 256
 # Queries that meet a shard at once, and shards that a task holds while the queries pass.
 QUERY_BLOCK = 256
 GROUP_SHARDS = 4
@@ -65,7 +65,9 @@ class Shard:
     def __init__(self, row: dict, average: float):
         kinds = (np.int64, np.int64, np.uint64, np.int64, np.uint16, np.int32)
         self.ids, lengths, self.terms, self.ends, self.doc, counts = (np.frombuffer(row[f], k) for f, k in zip(_FIELDS, kinds))
-        self.counts, self.norm = counts, K1 * (1 - B + B * lengths / max(average, 1e-9))
+        norm = K1 * (1 - B + B * lengths / max(average, 1e-9))
+        # Weights of postings, without the term's idf.
+        self.weight = counts * (K1 + 1) / (counts + norm[self.doc])
         self.blocks = -(-len(self.ids) // BLOCK_DOCS)
         block = self.doc // BLOCK_DOCS
         new = np.ones(len(block), bool)
@@ -74,14 +76,9 @@ class Shard:
         self.run_start = np.flatnonzero(new).astype(np.int32)
         self.run_size = np.diff(self.run_start, append=len(block)).astype(np.int32)
         self.run_block = block[self.run_start]
-        self.run_max = np.maximum.reduceat(self.weight(slice(None)), self.run_start) if len(block) else np.empty(0)
+        self.run_max = np.maximum.reduceat(self.weight, self.run_start) if len(block) else np.empty(0)
         self.run_end = np.searchsorted(self.run_start, self.ends)
 
-    def weight(self, spots) -> np.ndarray:
-        """Weight of postings, without the term's idf."""
-        counts = self.counts[spots]
-        return counts * (K1 + 1) / (counts + self.norm[self.doc[spots]])
-
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """(doc_id, score) of the best k documents that hold a term; equal scores at the end are all kept.
 
@@ -100,22 +97,24 @@ class Shard:
         gain = np.repeat(idf, self.run_end[at] - first)
         block = self.run_block[runs]
         bound = np.bincount(block, weights=gain * self.run_max[runs], minlength=self.blocks)
-        # Runs by decreasing bound of their block; within a block terms stay in order.
+        # Runs by decreasing bound of their block, without blocks below the floor; within a block terms stay in order.
+        # Sums of bounds and scores may differ by rounding.
+        open_runs = (bound * (1 + 1e-9) >= floor)[block]
+        runs, gain, block = runs[open_runs], gain[open_runs], block[open_runs]
         visit = np.argsort(-bound, kind="stable")
-        place = np.empty(self.blocks, np.int64)
+        place = np.empty(self.blocks, np.int16)  # at most SHARD_DOCS / BLOCK_DOCS, sorted by digits
         place[visit] = np.arange(self.blocks)
         order = np.argsort(place[block], kind="stable")
         runs, gain, upto = runs[order], gain[order], np.cumsum(np.bincount(place[block], minlength=self.blocks))
         sorted_bound = bound[visit]
         best_doc, best, threshold, start, step = np.empty(0, np.int64), np.empty(0), floor, 0, 2
-        # sums of bounds and scores may differ by rounding
         while start < self.blocks and sorted_bound[start] > 0 and sorted_bound[start] * (1 + 1e-9) >= threshold:
             stop = min(start + step, int(np.searchsorted(-sorted_bound * (1 + 1e-9), -threshold, "right")))
             low = upto[start - 1] if start else 0
             some, factor = runs[low:upto[stop - 1]], gain[low:upto[stop - 1]]
             sizes = self.run_size[some]
             spots = _ranges(self.run_start[some], sizes)
-            score = np.bincount(self.doc[spots], weights=self.weight(spots) * np.repeat(factor, sizes))
+            score = np.bincount(self.doc[spots], weights=self.weight[spots] * np.repeat(factor, sizes))
             hit = np.flatnonzero(score > 0)
             best_doc, best = np.concatenate([best_doc, hit]), np.concatenate([best, score[hit]])
             if len(best) > k:
