@@ -136,11 +136,22 @@ def mean_average_precision(matches: DataFrame, truths: DataFrame, thresholds: li
                      F.avg(F.when(F.col("threshold") == 0.5, F.col("ap"))).alias(names[1]))
 
 
-def box_map(detections: DataFrame, truths: DataFrame, **options) -> DataFrame:
-    found = settle(match(detections, truths), "box-matches")
+def left_out(detections: DataFrame, best: int = BOX_DETECTIONS) -> DataFrame:
+    """One row: how many detections lie beyond the `best` of their image and class."""
+    beyond = detections.groupBy(*_GROUP).count().select(F.greatest(F.col("count") - best, F.lit(0)).alias("n"))
+    return beyond.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("left_out"))
+
+
+def box_map(detections: DataFrame, truths: DataFrame, best: int = BOX_DETECTIONS, **options) -> DataFrame:
+    """Mean average precision of boxes over the `best` scored detections of each image and class.
+
+    The published metric looks at 100; `left_out` counts the others.
+    """
+    found = settle(match(detections, truths, best=best), "box-matches")
     return mean_average_precision(found, truths, **options)
 
 
-def pose_map(detections: DataFrame, truths: DataFrame, **options) -> DataFrame:
-    found = settle(match(detections, truths, pose_similarity, best=POSE_DETECTIONS), "pose-matches")
+def pose_map(detections: DataFrame, truths: DataFrame, best: int = POSE_DETECTIONS, **options) -> DataFrame:
+    """As box_map, for poses; the published metric looks at 20."""
+    found = settle(match(detections, truths, pose_similarity, best=best), "pose-matches")
     return mean_average_precision(found, truths, names=("pose_map", "pose_oks"), **options)

@@ -78,3 +78,14 @@ def test_perfect_detections(spark, scene):
     d = g.where("category_id < 2").selectExpr("image_id", "category_id", "truth_id AS det_id", "0.5D AS score", "shape")
     row = det.box_map(d, g.where("category_id < 2"), limit=None).first()
     assert row["detect_map50"] > 0.5
+
+
+def test_best_is_a_parameter(spark):
+    box = [0.0, 0.0, 10.0, 10.0]
+    truths = spark.createDataFrame([(1, 1, 1, box, 100.0)], "image_id long, category_id int, truth_id long, shape array<double>, area double")
+    found = spark.createDataFrame([(1, 1, 1, 0.9, [50.0, 50.0, 10.0, 10.0]), (1, 1, 2, 0.8, box)],
+                                  "image_id long, category_id int, det_id long, score double, shape array<double>")
+    assert det.left_out(found, 1).first()["left_out"] == 1
+    assert det.left_out(found).first()["left_out"] == 0
+    assert det.box_map(found, truths, best=1).first()["detect_map"] == 0
+    assert det.box_map(found, truths).first()["detect_map"] > 0
