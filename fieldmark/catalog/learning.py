@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -18,6 +20,7 @@ from fieldmark.operators.preprocess import fit_preprocess
 from fieldmark.plans import runs as run_tables
 from fieldmark.plans.grid import SweepConfig
 from fieldmark.plans.sweep import refit_best, sweep
+from fieldmark.plans.targets import missing_columns
 from fieldmark.plans.targets import score_targets as score_all
 from fieldmark.plans.targets import train_target
 from fieldmark.registry import TARGETS
@@ -292,21 +295,35 @@ def model_udf(spark, sf):
 
 # --- prediction targets -------------------------------------------------------
 
-_ROUNDS = 5
+def _ready(table: DataFrame) -> list[str]:
+    return [k for k, target in TARGETS.items() if target.scope == "team_game" and not missing_columns(target, table)]
 
 
-def _train_all(spark, sf) -> tuple[DataFrame, str, list[dict]]:
-    """Train the win and the points target of one sport on the orders' form."""
+def _train_all(spark, sf, sports: list[str] | None = None, targets: list[str] | None = None,
+               parallel: int = 8) -> tuple[DataFrame, str, list[str]]:
+    """Train targets on the orders' form with the default rounds: every ready one for every sport, or those named."""
     table = settle(_features(Tables(spark, sf)), "team-games")
     folder = scratch_path(spark, "targets")
-    trained = [train_target(table, TARGETS[k], "O", f"{folder}/models", f"{folder}/aliases",
-                            f"{folder}/runs", rounds=_ROUNDS) for k in ("win_probability", "points_for")]
-    return table, folder, trained
+    sports = sports or sorted(r["sport"] for r in table.select("sport").where("sport is not null").distinct().collect())
+
+    def train(job):
+        return train_target(table, TARGETS[job[1]], job[0], f"{folder}/models", f"{folder}/aliases", f"{folder}/runs")
+
+    with ThreadPoolExecutor(parallel) as pool:
+        list(pool.map(train, [(s, k) for s in sports for k in targets or _ready(table)]))
+    return table, folder, sports
+
+
+def _predicted(spark, table: DataFrame, folder: str, sports: list[str]) -> DataFrame:
+    scored = reduce(DataFrame.unionByName, [
+        score_all(spark, {"team_game_features": table}, s, f"{folder}/aliases", f"{folder}/predictions") for s in sports])
+    return scored.select("sport", "scope", "target", "entity_id",
+                         F.col("prediction").isNotNull().cast("int").alias("predicted"))
 
 
 @query()
 def team_targets(spark, sf):
-    """The run log of the trained targets with their metrics."""
+    """The run log of all ready targets of all sports with their metrics."""
     _, folder, _ = _train_all(spark, sf)
     logged = run_tables.metric_columns(run_tables.read_runs(spark, f"{folder}/runs"), ["roc_auc", "rmse"])
     return logged.select("name", "status", "dataset", "model", "roc_auc", "rmse")
@@ -317,8 +334,15 @@ def team_targets(spark, sf):
            1 AS predicted
     FROM orders, (VALUES ('win_probability'), ('points_for')) t(target) WHERE o_orderstatus = 'O'""")
 def score_targets(spark, sf):
-    """Every game of the sport gets a prediction of every trained target."""
-    table, folder, _ = _train_all(spark, sf)
-    scored = score_all(spark, {"team_game_features": table}, "O", f"{folder}/aliases", f"{folder}/predictions")
-    return scored.select("sport", "scope", "target", "entity_id",
-                         F.col("prediction").isNotNull().cast("int").alias("predicted"))
+    """Every game of one sport gets a prediction of the two targets its SQL names; score_every_target does all."""
+    return _predicted(spark, *_train_all(spark, sf, ["O"], ["win_probability", "points_for"]))
+
+
+@query("""
+    SELECT o_orderstatus AS sport, 'team_game' AS scope, t.target, CAST(o_orderkey AS VARCHAR) AS entity_id,
+           1 AS predicted
+    FROM orders, (VALUES ('win_probability'), ('points_for'), ('points_against'), ('off_efficiency'),
+                         ('def_efficiency')) t(target)""")
+def score_every_target(spark, sf):
+    """Every game of every sport gets a prediction of every ready target."""
+    return _predicted(spark, *_train_all(spark, sf))

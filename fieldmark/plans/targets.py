@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from threading import Lock
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -19,6 +20,9 @@ from fieldmark.registry import KEY_COLUMNS, TARGETS, Target
 from fieldmark.session import settle
 from fieldmark.sources.sinks import replace_slices
 
+# Alias and run tables are appended to by one training at a time.
+_REGISTER = Lock()
+
 
 def missing_columns(target: Target, table: DataFrame | None) -> list[str]:
     """What the target's feature table lacks; a table that cannot be read lacks itself."""
@@ -69,15 +73,16 @@ def train_target(table: DataFrame, target: Target, sport: str, models: str, alia
     else:
         value = scored.agg(rmse("label", "prediction").alias("v")).first()["v"]
     name = f"{sport}_teamperf_{target.key}"
-    current = resolve(spark, aliases, name)
-    path = f"{models}/{name}/v{1 if current is None else current[0] + 1}"
-    pipeline.write().overwrite().save(path)
-    version = move_alias(spark, aliases, name, path)
-    if runs_path:
-        log_runs(spark, runs_path, [run_record(
-            f"{sport}_{target.key}", metrics={target.metric: value},
-            params={"sport": sport, "target": target.key, "scope": target.scope,
-                    "n_features": len(names)}, tags={"dataset": sport, "model": target.key})])
+    with _REGISTER:
+        current = resolve(spark, aliases, name)
+        path = f"{models}/{name}/v{1 if current is None else current[0] + 1}"
+        pipeline.write().overwrite().save(path)
+        version = move_alias(spark, aliases, name, path)
+        if runs_path:
+            log_runs(spark, runs_path, [run_record(
+                f"{sport}_{target.key}", metrics={target.metric: value},
+                params={"sport": sport, "target": target.key, "scope": target.scope,
+                        "n_features": len(names)}, tags={"dataset": sport, "model": target.key})])
     return {"target": target.key, "sport": sport,
             target.metric: None if value is None else round(float(value), 4),
             "model_version": version}

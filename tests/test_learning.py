@@ -265,3 +265,13 @@ def test_missing_category_is_the_most_frequent(spark):
     out = fit_preprocess(df, ["x"], ["c"]).transform(df).select("c", "features").collect()
     by = {r["c"]: r["features"].toArray().tolist() for r in out}
     assert by[None] == by["a"] != by["b"]
+
+
+def test_registered_targets_are_trained_for_every_sport_with_all_rounds(spark, monkeypatch):
+    from fieldmark.catalog import learning
+
+    asked = []
+    monkeypatch.setattr(learning, "train_target", lambda table, target, sport, *paths, **more: asked.append((sport, target.key, more)))
+    learning._train_all(spark, "/root/testdata/sf0.001")
+    ready = ["win_probability", "points_for", "points_against", "off_efficiency", "def_efficiency"]
+    assert sorted(asked, key=str) == sorted(((s, k, {}) for s in "FOP" for k in ready), key=str)
