@@ -202,15 +202,10 @@ def knn_predict(spark, sf):
     return out.select("id", F.round("score", 9).alias("score"), F.col("prediction").cast("int").alias("prediction"))
 
 
-# Short training runs: the same code with fewer rounds.
-_SHORT = classifiers.Effort(linear_iterations=50, svm_iterations=20, trees=20, tree_depth=5,
-                            boosting_rounds=5, network_iterations=30, fourier_features=64)
-
-
 def _fit_and_measure(name: str):
     def run(spark, sf):
         df = settle(splits.hold_out(vectors(Tables(spark, sf)), "label", "id", 0.2), "vectors")
-        model = classifiers.fit(name, df.where(~F.col("is_test")), effort=_SHORT)
+        model = classifiers.fit(name, df.where(~F.col("is_test")))
         scored = settle(model.predict(df.where("is_test")).select("label", "prediction", "score"), "scored")
         metrics = classification_metrics(scored, "label", "prediction", []).withColumn("k", F.lit(0))
         auc = roc_auc(scored, "label", "score").withColumn("k", F.lit(0))
@@ -227,15 +222,15 @@ for _name in classifiers.MODELS:
 
 # --- the sweep ----------------------------------------------------------------
 
-_SWEEP = SweepConfig(datasets=("embeddings",), reducers=("none", "pca"), n_components=(8,),
-                     clustering=("none", "kmeans"), models=("logistic_regression", "knn"), cv_folds=2,
-                     sample_rows=0)
+# Every reducer, clustering and model, at full effort on all training rows.
+_SWEEP = SweepConfig(datasets=("embeddings",), n_components=(8,), clustering=("none", "kmeans", "gmm"),
+                     models=tuple(classifiers.MODELS), cv_folds=2, sample_rows=0)
 
 
 def _modelling_table(t: Tables) -> DataFrame:
     return t.embeddings.select(
         F.col("vec_id").alias("id"),
-        *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(32)],
+        *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(64)],
         pick_band(F.get("embedding", F.lit(63))).alias("band"),
         (F.col("label") > 4).cast("int").alias("label"))
 
@@ -248,7 +243,7 @@ def pick_band(c):
 def cv_leaderboard(spark, sf):
     """Cross-validated grid on the embeddings, with its best cell per dataset refitted and saved."""
     data = {"embeddings": _modelling_table(Tables(spark, sf))}
-    board = sweep(spark, data, _SWEEP, effort=_SHORT)
+    board = sweep(spark, data, _SWEEP)
     return lb.sort_leaderboard(board, ties=["reducer", "clustering", "model"])
 
 
@@ -256,14 +251,27 @@ def cv_leaderboard(spark, sf):
 def best_refit(spark, sf):
     """Predictions of the saved best pipeline for all rows."""
     data = {"embeddings": _modelling_table(Tables(spark, sf))}
-    cfg = SweepConfig(datasets=("embeddings",), reducers=("pca",), n_components=(8,), clustering=("none",),
-                      models=("logistic_regression",), cv_folds=2, sample_rows=0)
-    board = sweep(spark, data, cfg, effort=_SHORT)
-    path = refit_best(spark, board, data, cfg, effort=_SHORT)["embeddings"]
-    return PipelineModel.load(path).transform(data["embeddings"]).select(
+    board = sweep(spark, data, _SWEEP)
+    path = refit_best(spark, board, data, _SWEEP)["embeddings"]
+    return _apply_best(spark, path, _best_model(board), data["embeddings"]).select(
         "id", F.col("prediction").cast("int").alias("prediction"))
 
 
+def _best_model(board: DataFrame) -> str:
+    """The model refit_best takes."""
+    return lb.best_row_per(board, ["dataset"], "test_roc_auc", ["reducer", "clustering", "model", "n_components"]).first()["model"]
+
+
+def _apply_best(spark, path: str, model: str, df: DataFrame) -> DataFrame:
+    """Predictions of a saved best cell; nearest neighbours are saved as vectors, see refit_best."""
+    if model != "knn":
+        return PipelineModel.load(path).transform(df)
+    made = PipelineModel.load(f"{path}/features").transform(df)
+    last = next(c for c in ("clustered", "reduced", "features") if c in made.columns)
+    near = classifiers.FittedNeighbours(spark.read.parquet(f"{path}/neighbours"), "x", "id")
+    return near.predict(made.withColumn("x", F.col(last)))
+
+
 @query("""
     SELECT status, model, count(*) AS runs, (SELECT count(*) FROM embeddings) AS rows
     FROM (VALUES ('FINISHED', 'logistic_regression'), ('FAILED', 'no_such_model'), ('FINISHED', 'grid_sweep'))
@@ -274,7 +282,7 @@ def run_log(spark, sf):
     cfg = SweepConfig(datasets=("embeddings",), reducers=("none",), clustering=("none",),
                       models=("logistic_regression", "no_such_model"), cv_folds=2, sample_rows=0)
     path = scratch_path(spark, "runs")
-    sweep(spark, data, cfg, effort=_SHORT, runs_path=path)
+    sweep(spark, data, cfg, runs_path=path)
     logged = run_tables.read_runs(spark, path)
     n = data["embeddings"].count()
     return (logged.groupBy("status", F.coalesce("model", "name").alias("model"))
@@ -285,8 +293,8 @@ def run_log(spark, sf):
 def model_udf(spark, sf):
     """A saved preprocessing and logistic pipeline, loaded and applied as columns."""
     df = _modelling_table(Tables(spark, sf))
-    steps = fit_preprocess(df, [f"e{i}" for i in range(32)], ["band"])
-    model = classifiers.fit("logistic_regression", steps.transform(df), effort=_SHORT)
+    steps = fit_preprocess(df, [f"e{i}" for i in range(64)], ["band"])
+    model = classifiers.fit("logistic_regression", steps.transform(df))
     path = scratch_path(spark, "model")
     PipelineModel([steps, model.model]).save(path)
     out = PipelineModel.load(path).transform(df)

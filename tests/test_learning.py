@@ -275,3 +275,33 @@ def test_registered_targets_are_trained_for_every_sport_with_all_rounds(spark, m
     learning._train_all(spark, "/root/testdata/sf0.001")
     ready = ["win_probability", "points_for", "points_against", "off_efficiency", "def_efficiency"]
     assert sorted(asked, key=str) == sorted(((s, k, {}) for s in "FOP" for k in ready), key=str)
+
+
+def test_registered_grid_is_whole(spark, monkeypatch):
+    from fieldmark.catalog import learning
+
+    asked = []
+    monkeypatch.setattr(learning, "sweep", lambda spark, data, cfg, **more: asked.append((data["embeddings"].columns, cfg, more)))
+    monkeypatch.setattr(learning, "refit_best", lambda *args, **more: {})
+    monkeypatch.setattr(learning.lb, "sort_leaderboard", lambda board, ties: board)
+    learning.cv_leaderboard(spark, "/root/testdata/sf0.001")
+    with pytest.raises(KeyError):
+        learning.best_refit(spark, "/root/testdata/sf0.001")
+    for columns, cfg, more in asked:
+        assert {f"e{i}" for i in range(64)} <= set(columns) and not more
+        assert set(cfg.reducers) == {"none", "pca", "ica", "random_projection"}
+        assert set(cfg.clustering) == {"none", "kmeans", "gmm"} and set(cfg.models) == set(classifiers.MODELS)
+
+
+@pytest.mark.parametrize("model", ["knn", "logistic_regression"])
+def test_best_cell_is_applied(spark, tmp_path, model):
+    from fieldmark.catalog import learning
+
+    silver = spark.createDataFrame([(i, float(i % 2 * 5 + i % 7), float(i % 3), i % 2) for i in range(80)],
+                                   "id long, a double, b double, label int")
+    cfg = SweepConfig(datasets=("d",), reducers=("pca",), n_components=(2,), clustering=("kmeans",),
+                      models=(model,), cv_folds=2, sample_rows=0)
+    board = sweep(spark, {"d": silver}, cfg, effort=SHORT)
+    path = refit_best(spark, board, {"d": silver}, cfg, str(tmp_path / model), effort=SHORT)["d"]
+    rows = learning._apply_best(spark, path, learning._best_model(board), silver).collect()
+    assert len(rows) == 80 and {r["prediction"] for r in rows} == {0.0, 1.0}
