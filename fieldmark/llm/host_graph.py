@@ -84,20 +84,21 @@ def personal_rank(links: DataFrame, seeds: DataFrame, name: str, damping: float
 def judge_hosts(judged: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """(host, trust, distrust, verdict) for hosts that either reaches.
 
-    Seeds are hosts of which rules decide more than half of the pages alike, weighted by
-    those pages. Trust follows links from trusted seeds; distrust runs against them from
+    Every host with pages that rules decide is a seed: of trust with the pages it has
+    allowed beyond its blocked ones, of distrust with those blocked beyond its allowed
+    ones; as many of both say nothing. Trust follows links from trusted seeds; distrust runs against them from
     blocked seeds, to hosts that link there. A host is blocked if its distrust is above
     its trust (to 12 decimals); hosts reached by neither are allowed (they are not in the result).
     """
     hosts = settle(judged.where("host <> ''").groupBy("host").agg(
-        F.count("*").alias("pages"), F.count_if(F.col("match.verdict") == "allow").alias("good"),
+        F.count_if(F.col("match.verdict") == "allow").alias("good"),
         F.count_if(F.col("match.verdict") == "block").alias("bad")), "hosts")
     links = settle(links, "links")
     if links.isEmpty():
         links = links.limit(0)
         rounds = 0
-    good = hosts.where("2 * good > pages").select("host", F.col("good").alias("weight"))
-    bad = hosts.where("2 * bad > pages").select("host", F.col("bad").alias("weight"))
+    good = hosts.where("good > bad").select("host", (F.col("good") - F.col("bad")).alias("weight"))
+    bad = hosts.where("bad > good").select("host", (F.col("bad") - F.col("good")).alias("weight"))
     trust = personal_rank(links, good, "trust", damping, rounds)
     against = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
     distrust = personal_rank(against, bad, "distrust", damping, rounds)

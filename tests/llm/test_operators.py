@@ -216,6 +216,20 @@ def test_trust_and_distrust(spark):
     assert host_graph.judge_pages(pages.limit(0)).count() == 0
 
 
+def test_undecided_pages_follow_the_net_evidence_of_their_host(spark):
+    def pages(host, blocked, allowed, open_):   # rules: /b/ blocks, /a/ allows
+        return [(f"{host}-{kind}{i}", f"http://{host}/{kind}/{i}", "")
+                for kind, n in (("b", blocked), ("a", allowed), ("o", open_)) for i in range(n)]
+
+    rules = tuple(host_graph.Rule(v, h, p) for h in ("few.x", "hot.x", "mixed.x", "good.x", "even.x")
+                  for v, p in (("block", "/b/"), ("allow", "/a/")))
+    rows = (pages("few.x", 1, 0, 9) + pages("hot.x", 49, 0, 51) + pages("mixed.x", 3, 2, 9) + pages("good.x", 2, 3, 9)
+            + pages("even.x", 2, 2, 1) + pages("none.x", 0, 0, 2))
+    got = host_graph.judge_pages(spark.createDataFrame(rows, "page_id string, url string, html string"), rules=rules).where("rule is null")
+    assert {(r["host"], r["verdict"]) for r in got.collect()} == {
+        ("few.x", "block"), ("hot.x", "block"), ("mixed.x", "block"), ("good.x", "allow"), ("even.x", "allow"), ("none.x", "allow")}
+
+
 def test_personal_rank_is_the_power_iteration(spark):
     links = spark.createDataFrame([("a", "b", 1), ("a", "c", 3), ("b", "c", 1), ("c", "a", 1)], "src string, dst string, links long")
     got = {r["host"]: r["r"] for r in host_graph.personal_rank(links, spark.createDataFrame([("a", 2), ("d", 2)], "host string, weight long"), "r").collect()}
