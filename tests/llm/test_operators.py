@@ -240,6 +240,27 @@ def test_personal_rank_is_the_power_iteration(spark):
     assert np.allclose([got.get(h, 0) for h in "abcd"], x)
 
 
+def test_distrust_reaches_the_far_end_of_a_chain(spark):
+    names = [f"h{i:02}" for i in range(16)]
+    links = spark.createDataFrame([(a, b, 1) for a, b in zip(names, names[1:])], "src string, dst string, links long")
+    judged = spark.createDataFrame([(names[-1], ("r", "block"))], "host string, match struct<rule:string,verdict:string>")
+    got = {r["host"]: r for r in host_graph.judge_hosts(judged, links).collect()}
+    assert {h: r["verdict"] for h, r in got.items()} == dict.fromkeys(names, "block")
+    assert np.allclose([got[h]["distrust"] for h in reversed(names)], 0.15 * 0.85 ** np.arange(16), rtol=1e-6)
+
+
+def test_weak_distrust_counts_however_many_seeds(spark):
+    judged = spark.createDataFrame([("weak", "block", 1), ("big", "block", 5_000_000_000_000)], "host string, v string, n long")
+    links = spark.createDataFrame([("far", "weak", 1)], "src string, dst string, links long")
+    seeds = judged.select("host", F.col("n").alias("weight"))
+    against = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
+    rank = {r["host"]: r["d"] for r in host_graph.personal_rank(against, seeds, "d").collect()}
+    assert 0 < rank["far"] < 5e-13
+    trust, distrust = 0.0, rank["far"]
+    row = spark.createDataFrame([(trust, distrust)], "trust double, distrust double")
+    assert row.select(host_graph.verdict_of("trust", "distrust")).first()[0] == "block"
+
+
 def test_search_is_brute_force(docs, none):
     rows = [(r["doc_id"], _words(r["text"])) for r in docs.select("doc_id", "text").collect() if r["doc_id"] is not None]
     asked = docs.where("doc_id in (0, 5, 100, 103, 106, 109)").select(F.col("doc_id").alias("query_id"), "text")
