@@ -177,3 +177,31 @@ def test_games_go_by_header(spark, tmp_path):
     assert [(rows[t]["game_id"], rows[t]["points_for"], rows[t]["points_against"], rows[t]["opponent"]) for t in "AB"] == [
         ("g1", "3", "1", None), ("g1", "1", "3", None)]
     assert '"weather":"rain"' in rows["A"]["record"] and rows["A"]["sport"] == "golf"
+
+
+def test_games_stay_text(spark, tmp_path):
+    (tmp_path / "games/golf").mkdir(parents=True)
+    (tmp_path / "games/golf/a.csv").write_text('game_id,points_for,points_against,team,note,note\n0022300001,05,3\n7,1.50,3,"a, ""b""",1e5,\n'
+                                               '007,,"",c\\d,"x\\"y",2,more\n')
+    (tmp_path / "games/golf/b.csv").write_text("points_against,game_id\n3,007\n")
+    rows = sorted(landing.games(spark, str(tmp_path)).collect(), key=lambda x: (x["game_id"], str(x["record"])))
+    assert [(x["game_id"], x["points_for"], x["points_against"], x["team"]) for x in rows] == [
+        ("0022300001", "05", "3", None), ("007", None, "", "c\\d"), ("007", None, "3", None), ("7", "1.50", "3", 'a, "b"')]
+    records = [{k: v for k, v in json.loads(x["record"]).items() if v is not None} for x in rows]
+    assert records[0] == {"game_id": "0022300001", "points_for": "05", "points_against": "3"}
+    assert records[1]["note"] == 'x"y' and records[1]["note_5"] == "2" and records[1]["_c6"] == "more"
+    assert records[3]["note"] == "1e5"
+
+
+def test_labels_keep_undeclared_fields(spark, tmp_path):
+    doc = {"images": [{"id": 1, "license": 4}], "annotations": [], "info": {"year": "017"}}
+    (tmp_path / "a.json").write_text(json.dumps(doc, indent=1))
+    (tmp_path / "b.json").write_text(json.dumps([doc, doc]))
+    (tmp_path / "c.json").write_text(" \n")
+    rows = landing.labels(spark, str(tmp_path)).collect()
+    assert len(rows) == 3 and all(x["images"][0]["id"] == 1 for x in rows)
+    assert sorted(x["raw"] for x in rows) == sorted([json.dumps(doc, indent=1), *[json.dumps([doc, doc])] * 2])
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines/a.json").write_text(json.dumps(doc) + "\n\n{broken\n")
+    rows = landing.labels(spark, str(tmp_path / "lines"), multi_line=False).collect()
+    assert {x["raw"] for x in rows} == {json.dumps(doc), "{broken"}
