@@ -2,11 +2,11 @@
 
 Words are runs of ASCII letters and digits (A-Z lower-cased) and all other non-ASCII
 characters. Every run of k words of every text is hashed (k = 2 for short phrases, 4 for
-long notices) and joined with the positions of the same runs in the templates; equal words
-are checked at the join, so a hash alone decides nothing. A hit of word i of a text with
-word j of a template votes for the diagonal i - j. Votes are counted per text, template and
-diagonal; neighbouring diagonals (words added to or left out of a long notice) are merged;
-the merged spans are verified word by word against the text.
+long notices) and joined with the positions of the same runs in the templates. A hit of word
+i of a text with word j of a template votes for the diagonal i - j. Votes are counted per
+text, template and diagonal; neighbouring diagonals (words added to or left out of a long
+notice) are merged; every span is verified word by word against the text, so a hash alone
+decides nothing.
 
 A phrase is found where all its words stand in order on one diagonal: a place of its
 own each time. A long notice is found where at least NEED of its words are verified. `score`
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from fieldmark.llm.base import broadcast_if, settle
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# The same words, also in upper case: separators one by one (a table look-up for the matcher), no backtracking.
+_ANY_CASE = "[^" + "".join(f"\\x{b:02X}" for b in range(128) if not chr(b).isalnum()) + "]++"
 NEED = 0.8            # verified share at which a long notice counts
 CANDIDATE = 0.3       # share of a long notice that votes must cover before its words are verified
 SHORT = 12            # templates of up to so many words are phrases
@@ -116,7 +118,7 @@ def lowered(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lowered(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(lowered(F.coalesce(text, F.lit(""))), F.lit(_ANY_CASE), F.lit(0))
 
 
 def _with_runs(df: DataFrame) -> DataFrame:
@@ -133,12 +135,12 @@ def _with_runs(df: DataFrame) -> DataFrame:
 
 
 def _template_runs(spark: SparkSession, known: list[Template]) -> DataFrame:
-    """(run, template, at, k, run_words) for each run of each template: a few hundred rows, fixed."""
+    """(run, template, at, k) for each run of each template: a few hundred rows, fixed."""
     rows = [(t, i, x.k, list(x.words[i:i + x.k])) for t, x in enumerate(known) for i in range(len(x.words) - x.k + 1)]
-    runs = spark.createDataFrame(rows, "template int, at int, k int, run_words array<string>")
-    h = lambda i: F.xxhash64(F.get("run_words", F.lit(i)))
+    runs = spark.createDataFrame(rows, "template int, at int, k int, words array<string>")
+    h = lambda i: F.xxhash64(F.get("words", F.lit(i)))
     two = lambda i: F.xxhash64(h(i), h(i + 1))
-    return runs.withColumn("run", F.when(F.col("k") == 2, two(0)).otherwise(F.xxhash64(two(0), two(2))))
+    return runs.select("template", "at", "k", F.when(F.col("k") == 2, two(0)).otherwise(F.xxhash64(two(0), two(2))).alias("run"))
 
 
 def _lookup(values: list, template: Column) -> Column:
@@ -147,14 +149,13 @@ def _lookup(values: list, template: Column) -> Column:
 
 def votes(docs: DataFrame, known: list[Template]) -> DataFrame:
     """(doc_id, digest, template, diagonal, hits): places of the template whose runs of k words stand on the diagonal."""
-    runs = docs.select("doc_id", F.xxhash64("text").alias("digest"), words_of(F.col("text")).alias("words"))
-    runs = _with_runs(runs).select("doc_id", "digest", "words", F.posexplode("runs").alias("i", "run"))
-    hit = runs.join(F.broadcast(_template_runs(docs.sparkSession, known)), "run")
-    n = F.size("words")
-    at = F.when(F.col("i") < n, F.col("i")).otherwise(F.col("i") - n)
-    hit = (hit.where((F.col("k") == 2) == (F.col("i") < n)).where(F.slice("words", at + 1, F.col("k")) == F.col("run_words"))
-           .select("doc_id", "digest", "template", (at - F.col("at")).alias("diagonal"), "at"))
-    return hit.groupBy("doc_id", "digest", "template", "diagonal").agg(F.collect_set("at").alias("hits"))
+    runs = _with_runs(docs.select("doc_id", F.xxhash64("text").alias("digest"), words_of(F.col("text")).alias("words")))
+    # Rows carry no words. The outer form, as the plain one would filter on the runs' size and so compute them again.
+    runs = runs.select("doc_id", "digest", F.size("words").alias("n"), F.posexplode_outer("runs").alias("i", "run"))
+    hit = runs.join(F.broadcast(_template_runs(docs.sparkSession, known)), "run").where((F.col("k") == 2) == (F.col("i") < F.col("n")))
+    at = F.when(F.col("i") < F.col("n"), F.col("i")).otherwise(F.col("i") - F.col("n"))
+    return (hit.select("doc_id", "digest", "template", (at - F.col("at")).alias("diagonal"), "at")
+            .groupBy("doc_id", "digest", "template", "diagonal").agg(F.collect_set("at").alias("hits")))
 
 
 def spans(voted: DataFrame, known: list[Template]) -> DataFrame:
@@ -186,8 +187,7 @@ def _verified(found: DataFrame, docs: DataFrame, known: list[Template]) -> DataF
     here = ids.select(F.col("doc_id").alias("id"), F.col("digest").alias("d"))
     rows = rows.join(broadcast_if(here), rows.doc_id.eqNullSafe(F.col("id")) & (rows.digest == F.col("d")), "left_semi")
     rows = rows.dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), words_of(F.col("text")).alias("words"))
-    long = [(i, list(t.words)) for i, t in enumerate(known) if not t.short]
-    whole = F.broadcast(docs.sparkSession.createDataFrame(long, "template int, template_words array<string>"))
+    whole = F.broadcast(docs.sparkSession.createDataFrame([(i, list(t.words)) for i, t in enumerate(known)], "template int, template_words array<string>"))
     both = found.join(rows, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d"))).join(whole, "template")
     stands = F.transform("template_words", lambda w, j: F.exists(
         "diagonals", lambda d: (j + d >= 0) & F.coalesce(F.get("words", F.greatest(j + d, F.lit(0))) == w, F.lit(False))))
@@ -205,8 +205,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: lis
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     short = _lookup([t.short for t in known], F.col("template"))
     merged = settle(spans(votes(rows, known), known).where((short & (F.col("share") == 1.0)) | (~short & (F.col("share") >= CANDIDATE))), "spans")
-    exact = merged.where(short).select("doc_id", "digest", "template", "low", "high", "share")
-    found = exact.unionByName(_verified(merged.where(~short), rows, known))
+    found = _verified(merged, rows, known).where(~short | (F.col("share") == 1.0))
     base = _lookup([t.base for t in known], F.col("template"))
     counted = short | (F.col("share") >= need)
     label = _lookup([t.label for t in known], F.col("template"))
@@ -217,7 +216,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: lis
         F.sort_array(F.collect_list(F.when(counted, F.struct("low", "high", label.alias("label"), "share")))).alias("spans")), "verdicts")
     verdicts = verdicts.withColumnsRenamed({"doc_id": "id", "digest": "d"})
     mine = rows.select("doc_id", F.xxhash64("text").alias("digest"),
-                       F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
+                       F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_ANY_CASE)).cast("long").alias("n_words"))
     both = mine.join(broadcast_if(verdicts), mine.doc_id.eqNullSafe(F.col("id")) & (mine.digest == F.col("d")), "left")
     none = F.array().cast("array<string>")
     return both.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"),
