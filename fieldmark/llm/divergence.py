@@ -181,41 +181,46 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = 50, text: st
     and the difference, only the first `top`. Rank by falling value, then by the item's bytes.
     """
     lists = settle(term_lists(docs, text, lang, source), "terms")
-    kept = settle(frequent_terms(lists, least), "kept")
-    rows = lists.select("lang", "source", F.explode("terms").alias("t")).select("lang", "source", "t.term", "t.n")
-    counts = settle(_below(rows, kept, ["lang", "term"], ["lang", "source", "term"], F.sum("n")), "counts")
+    # Terms and groups are numbers from here on: the wide sums and joins then move whole numbers only.
+    kept = settle(frequent_terms(lists, least).withColumn("id", F.monotonically_increasing_id()), "kept")
+    named = settle(lists.select("lang", "source").distinct().withColumn("of", F.monotonically_increasing_id()), "named")
+    rows = lists.join(broadcast_if(named), ["lang", "source"]).select("lang", "of", F.explode("terms").alias("t")).select("lang", "of", "t.term", "t.n")
+    small = broadcast_if(kept)
+    if small is kept:       # kept terms beyond a broadcast: fewer rows go to the join when summed first
+        rows = rows.groupBy("lang", "of", "term").agg(F.sum("n").alias("n"))
+    counts = settle(rows.join(small, ["lang", "term"]).groupBy("of", "id").agg(F.sum("n").alias("n")), "counts")
 
     size = broadcast_if(settle(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms")), "sizes"))
-    groups = (lists.select("lang", "source").distinct()
-              .join(counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("used")), ["lang", "source"], "left")
-              .join(size, "lang", "left").na.fill(0, ["total", "used", "terms"]))
+    used = counts.groupBy("of").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("used"))
+    groups = named.join(used, "of", "left").join(size, "lang", "left").na.fill(0, ["total", "used", "terms"])
     zero = F.when(F.col("terms") > 0, _share(F.lit(0).cast("long"), F.col("total"), F.col("terms"))).otherwise(F.lit(0).cast("long"))
     groups = settle(groups.withColumn("zero", zero), "groups")
     small = broadcast_if(groups)
-    shares = settle(counts.join(small.select("lang", "source", "total", "terms", "zero"), ["lang", "source"])
-                    .select("lang", "source", "term", "n", "zero", _share(F.col("n"), F.col("total"), F.col("terms")).alias("p")), "shares")
+    shares = settle(counts.join(small.select("of", "total", "terms", "zero"), "of")
+                    .select("of", "id", "zero", _share(F.col("n"), F.col("total"), F.col("terms")).alias("p")), "shares")
 
     # Pairs: all terms as if only one of the two used them, corrected for terms both use.
-    other = small.select("lang", F.col("source").alias("item"), F.col("zero").alias("item_zero"), F.col("used").alias("item_used"))
-    alone = (shares.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("n")).join(other, "lang")
-             .where("source <> item").groupBy("lang", "source", "item").agg(F.sum(F.col("n") * F.abs(F.col("p") - F.col("item_zero"))).alias("f")))
+    pair = (groups.join(small.select("lang", F.col("of").alias("other"), F.col("source").alias("item"), F.col("zero").alias("other_zero"),
+                                     F.col("used").alias("other_used")), "lang").where("of <> other"))
+    pair = settle(pair.select("of", "other", "lang", "source", "item", "zero", "other_zero",
+                              ((F.col("terms") - F.col("used") - F.col("other_used")) * F.abs(F.col("zero") - F.col("other_zero"))).alias("f")), "pairs")
+    alone = (shares.groupBy("of", "p").agg(F.count(F.lit(1)).alias("n")).join(broadcast_if(pair.select("of", "other", "other_zero")), "of")
+             .groupBy("of", "other").agg(F.sum(F.col("n") * F.abs(F.col("p") - F.col("other_zero"))).alias("f")))
     alone = settle(alone, "alone")
-    mine = shares.select("lang", "term", "source", "p", "zero")
-    theirs = shares.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("zero").alias("item_zero"))
-    fix = (F.abs(F.col("p") - F.col("q")) - F.abs(F.col("p") - F.col("item_zero")) - F.abs(F.col("zero") - F.col("q"))
-           + F.abs(F.col("zero") - F.col("item_zero")))
-    both = settle(mine.join(theirs, ["lang", "term"]).where("source < item").groupBy("lang", "source", "item").agg(F.sum(fix).alias("f")), "both")
-    swap = lambda df: df.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "f")
-    rest = (groups.join(other, "lang").where("source <> item")
-            .select("lang", "source", "item", ((F.col("terms") - F.col("used") - F.col("item_used")) * F.abs(F.col("zero") - F.col("item_zero"))).alias("f")))
-    pairs = (rest.unionByName(alone).unionByName(swap(alone)).unionByName(both).unionByName(swap(both))
-             .groupBy("lang", "source", "item").agg(F.sum("f").alias("value")).withColumn("part", F.lit("pair")))
-
-    overall = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    theirs = shares.select("id", F.col("of").alias("other"), F.col("p").alias("q"), F.col("zero").alias("other_zero"))
+    fix = (F.abs(F.col("p") - F.col("q")) - F.abs(F.col("p") - F.col("other_zero")) - F.abs(F.col("zero") - F.col("q"))
+           + F.abs(F.col("zero") - F.col("other_zero")))
+    both = settle(shares.join(theirs, "id").where("of < other").groupBy("of", "other").agg(F.sum(fix).alias("f")), "both")
+    swap = lambda df: df.select(F.col("other").alias("of"), F.col("of").alias("other"), "f")
+    parts = pair.select("of", "other", "f").unionByName(alone).unionByName(swap(alone)).unionByName(both).unionByName(swap(both))
+    value = parts.groupBy("of", "other").agg(F.sum("f").alias("value"))
+    pairs = pair.select("of", "other", "lang", "source", "item").join(value, ["of", "other"]).select("lang", "source", "item", "value", F.lit("pair").alias("part"))
+
     total = broadcast_if(settle(groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("terms").alias("terms")), "totals"))
-    overall = overall.join(total, "lang").select("lang", "term", _share(F.col("n"), F.col("total"), F.col("terms")).alias("q"))
-    terms = (shares.join(overall, ["lang", "term"]).where("p > q")
-             .select("lang", "source", F.col("term").cast("string").alias("item"), (F.col("p") - F.col("q")).alias("value"), F.lit("term").alias("part")))
+    overall = counts.groupBy("id").agg(F.sum("n").alias("n")).join(kept, "id").join(total, "lang")
+    overall = overall.select("id", F.col("term").cast("string").alias("item"), _share(F.col("n"), F.col("total"), F.col("terms")).alias("q"))
+    terms = (shares.join(overall, "id").where("p > q").join(small.select("of", "lang", "source"), "of")
+             .select("lang", "source", "item", (F.col("p") - F.col("q")).alias("value"), F.lit("term").alias("part")))
 
     falling = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     best = terms.withColumn("rank", F.row_number().over(falling)).where(F.col("rank") <= top)
