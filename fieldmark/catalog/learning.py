@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -22,7 +21,7 @@ from fieldmark.plans.grid import SweepConfig
 from fieldmark.plans.sweep import refit_best, sweep
 from fieldmark.plans.targets import missing_columns
 from fieldmark.plans.targets import score_targets as score_all
-from fieldmark.plans.targets import train_target
+from fieldmark.plans.targets import train_targets
 from fieldmark.registry import TARGETS
 from fieldmark.session import scratch_path, settle
 
@@ -314,11 +313,8 @@ def _train_all(spark, sf, sports: list[str] | None = None, targets: list[str] |
     folder = scratch_path(spark, "targets")
     sports = sports or sorted(r["sport"] for r in table.select("sport").where("sport is not null").distinct().collect())
 
-    def train(job):
-        return train_target(table, TARGETS[job[1]], job[0], f"{folder}/models", f"{folder}/aliases", f"{folder}/runs")
-
-    with ThreadPoolExecutor(parallel) as pool:
-        list(pool.map(train, [(s, k) for s in sports for k in targets or _ready(table)]))
+    jobs = [(TARGETS[k], s) for s in sports for k in targets or _ready(table)]
+    train_targets(table, jobs, f"{folder}/models", f"{folder}/aliases", f"{folder}/runs", parallel=parallel)
     return table, folder, sports
 
 
@@ -337,20 +333,20 @@ def team_targets(spark, sf):
     return logged.select("name", "status", "dataset", "model", "roc_auc", "rmse")
 
 
-@query("""
-    SELECT 'O' AS sport, 'team_game' AS scope, t.target, CAST(o_orderkey AS VARCHAR) AS entity_id,
+_EVERY_TARGET = """
+    SELECT o_orderstatus AS sport, 'team_game' AS scope, t.target, CAST(o_orderkey AS VARCHAR) AS entity_id,
            1 AS predicted
-    FROM orders, (VALUES ('win_probability'), ('points_for')) t(target) WHERE o_orderstatus = 'O'""")
+    FROM orders, (VALUES ('win_probability'), ('points_for'), ('points_against'), ('off_efficiency'),
+                         ('def_efficiency')) t(target)"""
+
+
+@query(_EVERY_TARGET)
 def score_targets(spark, sf):
-    """Every game of one sport gets a prediction of the two targets its SQL names; score_every_target does all."""
-    return _predicted(spark, *_train_all(spark, sf, ["O"], ["win_probability", "points_for"]))
+    """Every game of every sport gets a prediction of every ready target, from models of 300 rounds."""
+    return _predicted(spark, *_train_all(spark, sf))
 
 
-@query("""
-    SELECT o_orderstatus AS sport, 'team_game' AS scope, t.target, CAST(o_orderkey AS VARCHAR) AS entity_id,
-           1 AS predicted
-    FROM orders, (VALUES ('win_probability'), ('points_for'), ('points_against'), ('off_efficiency'),
-                         ('def_efficiency')) t(target)""")
+@query(_EVERY_TARGET)
 def score_every_target(spark, sf):
-    """Every game of every sport gets a prediction of every ready target."""
+    """The same as score_targets, under the name it had while that one was narrower."""
     return _predicted(spark, *_train_all(spark, sf))

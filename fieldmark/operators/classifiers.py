@@ -7,15 +7,14 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark import SparkContext
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
+                                       RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.operators import neighbors
+from fieldmark.operators import boosting, neighbors
 from fieldmark.operators.preprocess import width
 from fieldmark.operators.reducers import Projection
 
@@ -121,9 +120,9 @@ def fit(name: str, df: DataFrame, features: str = "features", key: str = "id", s
         stages = [RandomForestClassifier(featuresCol=features, numTrees=effort.trees,
                                          maxDepth=effort.tree_depth, seed=seed)]
     elif name == "xgboost":
-        stages = [GBTClassifier(featuresCol=features, maxIter=effort.boosting_rounds, maxDepth=4,
-                                stepSize=0.1, subsamplingRate=0.9, featureSubsetStrategy="0.9",
-                                seed=seed)]
+        growth = boosting.Growth(effort.boosting_rounds, 4, 0.1, 0.9, 0.9, seed=seed)
+        rows = df.select(F.lit(name).alias("problem"), features, "label")
+        stages = [boosting.grow(rows, {name: "classification"}, growth, features)[name]]
     elif name == "mlp":
         stages = [MultilayerPerceptronClassifier(
             featuresCol=features, layers=[width(df, features), 64, 32, 2],
@@ -132,9 +131,3 @@ def fit(name: str, df: DataFrame, features: str = "features", key: str = "id", s
         raise ValueError(f"unknown model {name!r}; known: {MODELS}")
     return Fitted(_fit_stages(stages, df))
 
-
-def target_model(kind: str, features: str, label: str, rounds: int = 300, seed: int = 42):
-    """Boosted trees for a prediction target."""
-    common = dict(featuresCol=features, labelCol=label, maxIter=rounds, maxDepth=5, stepSize=0.05,
-                  seed=seed)
-    return GBTClassifier(**common) if kind == "classification" else GBTRegressor(**common)

@@ -271,7 +271,7 @@ def test_registered_targets_are_trained_for_every_sport_with_all_rounds(spark, m
     from fieldmark.catalog import learning
 
     asked = []
-    monkeypatch.setattr(learning, "train_target", lambda table, target, sport, *paths, **more: asked.append((sport, target.key, more)))
+    monkeypatch.setattr(learning, "train_targets", lambda table, jobs, *paths, parallel: asked.extend((s, t.key, {}) for t, s in jobs))
     learning._train_all(spark, "/root/testdata/sf0.001")
     ready = ["win_probability", "points_for", "points_against", "off_efficiency", "def_efficiency"]
     assert sorted(asked, key=str) == sorted(((s, k, {}) for s in "FOP" for k in ready), key=str)
