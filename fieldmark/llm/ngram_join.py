@@ -10,8 +10,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.base import broadcast_if, chunks, in_arrow, settle
+from fieldmark.llm.base import broadcast_if, chunks, in_arrow, named, settle
 from fieldmark.llm.components import components
+from fieldmark.session import discard
 
 WORDS = 5
 PERCENT = 80
@@ -105,7 +106,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
-    sample = docs.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE_SHARE)) == 0)
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "key"), F.lit(SAMPLE_SHARE)) == 0)
     rows = (_sets(sample, words).select(F.explode("tokens").alias("token")).groupBy("token").count()
             .where(F.col("count") >= SAMPLE_COUNT).orderBy(F.desc("count"), "token").limit(FREQUENT).select("token").toPandas())
     return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
@@ -180,14 +181,14 @@ def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(broadcast_if(wanted), "key", "left_semi")
 
 
-def document_key(doc_id: str, text: str) -> Column:
-    """The doc_id; for rows without one a hash of the text."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(text).cast("string")))
+def text_key(text: str) -> Column:
+    """A hash of the text: with the doc_id it tells documents apart, also those that share one id."""
+    return F.xxhash64(named(text).cast("string"))
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
                    percent: int = PERCENT) -> DataFrame:
-    """Classes of documents linked by Jaccard similarity: key, doc_id, n_shingles, set_id, component_id, first_key.
+    """Classes of documents linked by Jaccard similarity: key, doc_id, n_shingles, set_id, component_id, is_first.
 
     1. Each document's set, its digest (copies collapse to one set) and its prefix under
        the first order. 2. Of each prefix token met in several sets, the LEADERS sets whose
@@ -201,12 +202,13 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     62 bit hashes are taken as unique. NULL, empty and blank texts have no shingles and
     are linked with nothing. component_id is the least doc_id of the component; NULL
-    doc_ids take part but do not name a component. key is `document_key`, and first_key the
-    key of the component's first document: its least doc_id, or else its least key.
+    doc_ids take part but do not name a component. key is `text_key`; is_first marks the rows of
+    the component's first document, told by doc_id and key: the least doc_id (NULL last), then the
+    least key.
     Repeated rows are copies; no documents give no rows; other columns are ignored.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    own = own.withColumn("key", document_key("doc_id", "text"))
+    own = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).cast("string").alias("text"))
+    own = own.withColumn("key", text_key("text"))
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(own, words))
     flat = settle(_prefixes(own, words, percent, frequent), "prefixes")
     filled = flat.where("set_id is not null")
@@ -215,10 +217,11 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     entries = filled.select(F.explode("first").alias("token"), "set_id")
     shared = (entries.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"))
               .where("low < high").select("token"))
-    entries = settle(entries.join(shared, "token", "left_semi").distinct(), "entries")
+    shared = settle(entries.join(shared, "token", "left_semi").distinct(), "entries")
     # Sets whose prefixes are met elsewhere most are likely the middle of their group.
-    central = entries.groupBy("set_id").count().join(copies, "set_id").select("set_id", "n", F.col("count").alias("met"), (F.col("count") / F.col("n")).alias("share"))
-    entries = settle(entries.join(central, "set_id"), "entries")
+    central = shared.groupBy("set_id").count().join(copies, "set_id").select("set_id", "n", F.col("count").alias("met"), (F.col("count") / F.col("n")).alias("share"))
+    entries = settle(shared.join(central, "set_id"), "entries")
+    discard(shared)
     order = Window.partitionBy("token").orderBy(F.desc("share"), "set_id")
     leaders = (entries.withColumn("place", F.row_number().over(order)).where(F.col("place") <= LEADERS)
                .select("token", F.col("set_id").alias("lead"), F.col("n").alias("lead_n"), F.col("met").alias("lead_met")))
@@ -231,14 +234,18 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def verify(pairs: DataFrame) -> DataFrame:
         used = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        met = _meet(pairs, settle(heads_of(used), "heads"), ["n", "first"]).where(_may_reach("first_a", "first_b", "n_a", "n_b", percent))
+        heads = settle(heads_of(used), "heads")
+        met = _meet(pairs, heads, ["n", "first"]).where(_may_reach("first_a", "first_b", "n_a", "n_b", percent))
         met = settle(met.select("a", "b", "n_a", "n_b"), "met")
+        discard(heads)
         used = met.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
         keys = settle(copies.join(used, "set_id").select("key"), "wanted")
         whole = settle(_whole(_with_texts(own, keys), words, percent, frequent).dropDuplicates(["set_id"]), "sets")
         both = _meet(met, whole, ["second", "tokens"]).where(_may_reach("second_a", "second_b", "n_a", "n_b", percent))
         overlap = F.size(F.array_intersect("tokens_a", "tokens_b"))
-        return settle(both.where(100 * overlap >= percent * (F.col("n_a") + F.col("n_b") - overlap)).select("a", "b"), "verified")
+        linked = settle(both.where(100 * overlap >= percent * (F.col("n_a") + F.col("n_b") - overlap)).select("a", "b"), "verified")
+        discard(met, keys, whole)
+        return linked
 
     links = verify(tried)
     joined = settle(components(links), "components")
@@ -251,7 +258,8 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = settle(placed.join(mixed, "token", "left_semi"), "placed")
     groups = placed.groupBy("token", "component").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.max("met").alias("met"), F.count("*").alias("size"))
-    groups = settle(groups, "groups")
+    discard(entries)
+    groups = sizes = settle(groups, "groups")
     whole = groups.groupBy("component").agg(F.sum("size").alias("weight"), F.min("low").alias("least"), F.max("high").alias("most"))
     groups = groups.join(whole, "component")
     x, y = groups.alias("x"), groups.alias("y")
@@ -265,6 +273,8 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # A set shares no more tokens with any set of `two` than with all of them together.
     ones = placed.select("token", F.col("component").alias("one"), F.col("set_id").alias("p"), F.col("n").alias("n_p"))
     ones = settle(meet.join(ones, ["token", "one"]), "ones")
+    discard(sizes)
+    every = ones
     floor = F.least(*[_least_shared(F.col("n_p"), F.col(c), percent) for c in ("least", "most")])
     likely = (ones.groupBy("p", "two", "n_p", "least", "most").agg(F.count("*").alias("shared"))
               .withColumn("floor", F.greatest(F.lit(1), F.ceil(floor - 1e-6))).where("shared >= floor").select("p", "two", "shared", "floor"))
@@ -273,8 +283,10 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ones = (ones.join(likely, ["p", "two"]).withColumn("place", F.row_number().over(rare)).where(F.col("place") <= F.col("shared") - F.col("floor") + 1)
             .select("token", "two", "p", "n_p"))
     ones = settle(ones, "ones")
+    discard(every)
     twos = placed.select("token", F.col("component").alias("two"), F.col("set_id").alias("q"), F.col("n").alias("n_q"))
     twos = settle(twos.join(ones.select("token", "two").distinct(), ["token", "two"], "left_semi"), "twos")
+    discard(placed)
     heads = settle(heads_of(ones.select(F.col("p").alias("set_id")).unionByName(twos.select(F.col("q").alias("set_id"))).distinct()), "heads")
     head = lambda c: heads.select(F.col("set_id").alias(c), F.col("first").alias(f"first_{c}"))
     # The filter of the first order is part of the join, so pairs that fail it are never rows.
@@ -282,16 +294,18 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
              .where(_sizes_fit("n_p", "n_q", percent) & _may_reach("first_p", "first_q", "n_p", "n_q", percent))
              .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
     cross = settle(cross.join(tried, ["a", "b"], "left_anti"), "pairs")
+    discard(ones, twos, heads, tried)
     if not cross.isEmpty():
         joined = settle(components(links.unionByName(verify(cross))), "components")
 
-    least = flat.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("key").alias("least_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")
+    least = flat.where("set_id is not null").groupBy("set_id").agg(first)
     placed = least.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "set_id"))
-    names = placed.groupBy("component").agg(F.min("least").alias("component_id"),
-                                           F.coalesce(F.min("least"), F.min("least_key")).alias("first_key"))
-    named = placed.select("set_id", "component").join(names, "component").drop("component")
-    return (flat.select("key", "doc_id", "n", "set_id").join(named, "set_id", "left")
+    names = placed.groupBy("component").agg(F.min("first").alias("first"))
+    known = placed.select("set_id", "component").join(names, "component").select("set_id", "first")
+    mine = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    return (flat.select("key", "doc_id", "n", "set_id").join(known, "set_id", "left")
             .select("key", "doc_id", F.col("n").alias("n_shingles"), "set_id",
-                    F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-                    "first_key"))
+                    F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+                    mine.alias("is_first")))
