@@ -10,9 +10,9 @@ import numpy as np
 
 from fieldmark.llm.base import worker_state
 
-# Words and runs of letters whose ids a worker keeps; beyond that it starts anew (results do
-# not depend on it). Runs are fewer, and what is slow to encode.
-CACHED_WORDS, CACHED_RUNS = 250_000, 500_000
+# Words and runs of letters whose ids a worker keeps, in two generations each: what was not met
+# again while the newer one filled is forgotten (results do not depend on it).
+CACHED_WORDS, CACHED_RUNS = 120_000, 240_000
 
 # What str.split() takes for white space though Unicode (and so the tokenizer) does not.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -32,6 +32,27 @@ def _split(text: str) -> list[str]:
     return _SPACE.split(text) if any(c in text for c in _SEPARATORS) else text.split()
 
 
+class Recent:
+    """A dictionary of what was met lately: at most `limit` entries in the newer and in the older generation."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """The keys that are not known; known ones of the older generation move to the newer one."""
+        absent = keys.difference(self.new)
+        again = absent.intersection(self.old) if self.old else ()
+        if again:
+            self.new.update((k, self.old[k]) for k in again)
+            absent.difference_update(again)
+        return absent
+
+    def turn(self) -> None:
+        """Start a new generation if the newer one is full; between uses, as `new` must hold what is asked for."""
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+
+
 class WordEncoder:
     """Ids of whole texts for a tokenizer that drops white space and splits at it.
 
@@ -51,8 +72,7 @@ class WordEncoder:
         pieces = self.model.get_vocab()
         self.ends = np.zeros(max(pieces.values()) + 1, bool)
         self.ends[[i for piece, i in pieces.items() if piece.endswith(mark)]] = True
-        self.words: dict[str, bytes] = {"": b""}
-        self.runs: dict[str, bytes] = {"": b""}
+        self.words, self.runs = Recent(CACHED_WORDS // 2), Recent(CACHED_RUNS // 2)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
@@ -73,28 +93,27 @@ class WordEncoder:
             if m := _PLAIN.fullmatch(w):
                 run, tail = m[1].lower(), m[2]
                 plain.append((w, run, tail))
-                runs.update(x for x in (run, tail) if x not in self.runs)
+                runs.add(run)
+                if tail:
+                    runs.add(tail)
             else:
                 odd.append(w)
-        fresh = list(runs)
+        known, fresh = self.runs.new, list(self.runs.missing(runs))
         for start in range(0, len(fresh), 4_000):
             some = fresh[start:start + 4_000]
-            self.runs.update(zip(some, self._ids_of_runs(some)))
-        self.words.update((w, self.runs[run] + self.runs[tail]) for w, run, tail in plain)
-        self.words.update(zip(odd, self._ids(odd)))
+            known.update(zip(some, self._ids_of_runs(some)))
+        self.words.new.update((w, known[run] + known[tail] if tail else known[run]) for w, run, tail in plain)
+        self.words.new.update(zip(odd, self._ids(odd)))
+        self.runs.turn()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32 bit numbers; NULL is an empty text."""
         split = [_split(t) if t else [] for t in texts]
-        missing = set().union(*split).difference(self.words)
-        if missing:
+        if missing := self.words.missing(set().union(*split)):
             self._learn(missing)
-        known = self.words.__getitem__
+        known = self.words.new.__getitem__
         out = [b"".join(map(known, words)) for words in split]
-        if len(self.words) > CACHED_WORDS:
-            self.words = {"": b""}
-        if len(self.runs) > CACHED_RUNS:
-            self.runs = {"": b""}
+        self.words.turn()
         return out
 
 
