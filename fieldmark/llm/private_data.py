@@ -8,10 +8,11 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.base import chunks, in_arrow, worker_state
+from fieldmark.llm.base import chunks, in_arrow, named, worker_state
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -82,7 +83,7 @@ _WORD = "(?:" + "|".join(DIGIT_WORDS) + ")"
 # At least three digits in a row, written out or not, the first one written out or after "plus".
 _SPELLED = re.compile(rf"(?i)(?:\bplus[ -]+|\+[ -]?)?\b{_WORD}(?:(?:[ -]+|[ -]*(?:\.|\bdot\b|\bpoint\b)[ -]*)(?:{_WORD}\b|[0-9]+\b)){{2,}}")
 _UNIT = re.compile(rf"(?i)plus|\+|{_WORD}|[0-9]+|\.|dot|point")
-_SPELLED_HINT = re.compile(rf"(?i){_WORD}[ .-]")
+_SPELLED_HINT = rf"(?i){_WORD}[ .-]"
 _OPEN, _CLOSE = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
 _BRACKET_HINT = re.compile(r"(?i)[\[({<]\s?(?:at|dot|@|\.)\s?[\])}>]")
 _PLAIN_HINT = re.compile(r"(?i) at (?:[a-z0-9-]+\.)+[a-z]{2,}")
@@ -153,19 +154,27 @@ def _fold_address(tape: Tape) -> None:
     changes = []
     for m in _ADDRESS.finditer(tape.text):
         if m["plain"]:
-            head = tape.text[max(0, m.start() - 100):m.start()]
-            if not _LOCAL_LIKE.search(head[max(head.rfind(" "), head.rfind("\n")) + 1:]):
+            begin = max(tape.text.rfind(" ", 0, m.start()), tape.text.rfind("\n", 0, m.start())) + 1
+            if not _LOCAL_LIKE.search(tape.text[begin:m.start()]):
                 continue
         changes.append((m.start(), m.end(), "." if m["dot"] else "@"))
     tape.rewrite(changes)
 
 
-def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that only show after normalisation, in source positions; none meets a base span of its kind."""
+def may_spell(texts: pa.Array) -> list[bool]:
+    """Whether a text holds a digit's word before a separator."""
+    return pc.match_substring_regex(texts.fill_null(""), _SPELLED_HINT).to_pylist()
+
+
+def disguised(text: str, base: list[tuple[int, int, int]], spelled: bool | None = None) -> list[tuple[int, int, int]]:
+    """Spans that only show after normalisation, in source positions; none meets a base span of its kind.
+
+    `spelled` is the text's may_spell, if known.
+    """
     pattern, table = worker_state("private_folds", _folds)
     lower = text.lower()
-    letters = not text.isascii() and pattern.search(text) is not None
-    spelled = letters or _SPELLED_HINT.search(lower) is not None
+    letters = not text.isascii() and not table.keys().isdisjoint(set(text))
+    spelled = letters or (may_spell(pa.array([text]))[0] if spelled is None else spelled)
     address = letters or " dot " in lower or _BRACKET_HINT.search(lower) is not None or _PLAIN_HINT.search(lower) is not None
     if not (letters or spelled or address):
         return []
@@ -192,12 +201,12 @@ def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     return sorted(set(found))
 
 
-def private_spans(text: str | None) -> list[tuple[int, int, int, bool]]:
+def private_spans(text: str | None, spelled: bool | None = None) -> list[tuple[int, int, int, bool]]:
     """(start, kind, end, disguised) of a whole text, by start, then kind."""
     if not text:
         return []
     base = detect(text)
-    return sorted([(*x, False) for x in base] + [(*x, True) for x in disguised(text, base)])
+    return sorted([(*x, False) for x in base] + [(*x, True) for x in disguised(text, base, spelled)])
 
 
 def redact(text: str | None, spans: list[tuple[int, int, int, bool]]) -> str | None:
@@ -230,21 +239,23 @@ def find_private(docs: DataFrame, text: str = "text", keep: list[str] = ("doc_id
     NULL and empty texts have no spans; NULL stays NULL; repeated rows are handled alike;
     no documents give no rows. `output` names the added columns.
     """
-    keep = list(keep)
+    # Inside the task columns go by number, so their names may be any.
+    names, keep = list(keep), [f"c{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, read):
             texts = batch.column(read).to_pylist()
-            found = [private_spans(t) for t in texts]
+            found = [private_spans(t, spelled) for t, spelled in zip(texts, may_spell(batch.column(read)))]
             spans = pa.array([[{"kind": KINDS[k], "start": s, "end": e, "disguised": d} for s, k, e, d in x] for x in found], SPANS)
             columns = [batch.column(c) for c in keep] + [spans]
             if redacted:
                 columns.append(pa.array([redact(t, x) for t, x in zip(texts, found)], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, keep + list(output[:1 + redacted]))
+            yield pa.RecordBatch.from_arrays(columns, keep + ["spans", "redacted"][:1 + redacted])
 
     # A text that is kept anyway is not sent twice.
-    read = text if text in keep and dict(docs.dtypes)[text] == "string" else "__text"
-    own = docs.select(*keep, *([] if read == text else [F.col(text).cast("string").alias("__text")]))
+    read = keep[names.index(text)] if text in names and dict(docs.dtypes)[text] == "string" else "text"
+    own = docs.select(*[named(n).alias(c) for n, c in zip(names, keep)], *([named(text).cast("string").alias("text")] if read == "text" else []))
     kinds = dict(own.dtypes)
-    schema = [f"`{c}` {kinds[c]}" for c in keep] + [f"`{output[0]}` array<struct<kind:string,start:bigint,end:bigint,disguised:boolean>>"]
-    return own.transform(in_arrow, run, ", ".join(schema + [f"`{output[1]}` string"] * redacted))
+    schema = [f"{c} {kinds[c]}" for c in keep] + ["spans array<struct<kind:string,start:bigint,end:bigint,disguised:boolean>>"]
+    found = own.transform(in_arrow, run, ", ".join(schema + ["redacted string"] * redacted))
+    return found.toDF(*names, *output[:1 + redacted])
