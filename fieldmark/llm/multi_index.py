@@ -19,7 +19,7 @@ FIT_ROWS = 20_000
 CENTROIDS = 16
 # A query visits cells until they hold this share of the different vectors. Vectors without any
 # clusters need more than half for a recall of 0.9 (see the README); clustered ones far less.
-SHARE = 0.6
+SHARE = 0.7
 # Vectors and queries of a cell that meet in one block.
 BLOCK_VECTORS, BLOCK_QUERIES = 2_048, 512
 # Answers a task holds before it passes them on.
