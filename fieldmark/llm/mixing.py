@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.base import WORD, broadcast_if, settle, word_count
+from fieldmark.llm.base import WORD, broadcast_if, named, settle, word_count
 from fieldmark.operators.ordered import row_numbers
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -47,9 +47,10 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, copies: int = MOS
     return ranked.withColumn("target", target)
 
 
-def _with_keys(docs: DataFrame, doc_id: str, source: str, size: Column) -> DataFrame:
-    key = F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source).cast("string")))
-    return docs.withColumns({"__size": size, "__hash": document_hash(F.col(doc_id)), "__key": key})
+def _keys(doc_id: Column, source: Column, size: Column) -> list[Column]:
+    """__size, __hash and __key of a document. Columns of the table itself never stand beside them."""
+    key = F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source.cast("string")))
+    return [size.alias("__size"), document_hash(doc_id).alias("__hash"), key.alias("__key")]
 
 
 def _thresholds(own: DataFrame, weights: tuple, copies: int) -> DataFrame:
@@ -114,9 +115,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: C
     target 0; repeated rows are documents of their own and share a hash; no documents
     give no rows; other columns are ignored.
     """
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
-                      (size if size is not None else word_count(F.col(text))).alias("__words"))
-    own = settle(_with_keys(own, "doc_id", "source", F.col("__words")).drop("__words"), "mix")
+    words = size if size is not None else word_count(named(text))
+    own = settle(docs.select(named(doc_id).alias("doc_id"), named(source).cast("string").alias("source"),
+                             *_keys(named(doc_id), named(source), words)), "mix")
     shared = _share(own, _thresholds(own, weights, copies))
     return shared.select("doc_id", "source", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
                          F.col("__target").alias("target"), (F.col("__whole") * F.col("__size") + F.col("__rest")).alias("taken"),
@@ -130,11 +131,20 @@ def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     A last copy that is not taken whole keeps its first `rest` words, joined by blanks.
     Documents without words are in no mix.
     """
-    keyed = _with_keys(docs, doc_id, source, word_count(F.col(text)))
-    own = settle(keyed.select(F.col(source).cast("string").alias("source"), "__size", "__hash", "__key"), "mix")
-    rows = _share(keyed, _thresholds(own, weights, copies))
+    keys = _keys(named(doc_id), named(source), word_count(named(text)))
+    own = settle(docs.select(named(source).cast("string").alias("source"), *keys), "mix")
+    # The document travels as one struct, so its columns may have any names.
+    whole = F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rows = _share(docs.select(whole.alias("__doc"), *keys), _thresholds(own, weights, copies))
     number = F.col("__whole") + (F.col("__rest") > 0).cast("long")
     rows = rows.where((number > 0) & (F.col("__size") > 0)).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), number)))
     partial = (F.col("__copy") > F.col("__whole")) & (F.col("__rest") < F.col("__size"))
-    words = F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__rest").cast("int"))
-    return rows.withColumn(text, F.when(partial, F.array_join(words, " ")).otherwise(F.col(text))).select(*docs.columns)
+
+    def column(i: int, name: str) -> Column:
+        value = F.col("__doc")[f"c{i}"]
+        if name != text:
+            return value.alias(name)
+        words = F.slice(F.regexp_extract_all(value, F.lit(WORD), F.lit(0)), F.lit(1), F.col("__rest").cast("int"))
+        return F.when(partial, F.array_join(words, " ")).otherwise(value).alias(name)
+
+    return rows.select(*[column(i, c) for i, c in enumerate(docs.columns)])

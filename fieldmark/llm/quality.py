@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.base import broadcast_if, chunks, in_arrow, settle, worker_state
+from fieldmark.llm.base import broadcast_if, chunks, in_arrow, named, settle, worker_state
 
 # Labelled documents of each class that the fit uses at most: those with the least hash of their id.
 FIT_ROWS = 4_000
@@ -176,16 +176,20 @@ def score_quality(docs: DataFrame, ranker: Ranker, text: str = "text", keep: lis
     Reads nothing but the text. NULL and empty texts have the score of the zero vector;
     equal texts have equal scores; no documents give no rows.
     """
-    keep = list(keep)
+    # Inside the task columns go by number, so their names may be any.
+    names, keep = list(keep), [f"c{i}" for i in range(len(keep))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, read):
             rows = np.array([features(t) for t in batch.column(read).to_pylist()], np.float32)
             score = ranker.score(rows.astype(np.float64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep] + [pa.array(score), pa.array((score >= ACCEPT).astype(np.int32))],
-                keep + list(output))
+                [*keep, "score", "predicted"])
+
     # A text that is kept anyway is not sent twice.
-    read = text if text in keep and dict(docs.dtypes)[text] == "string" else "__text"
-    own = docs.select(*keep, *([] if read == text else [F.col(text).cast("string").alias("__text")]))
+    read = keep[names.index(text)] if text in names and dict(docs.dtypes)[text] == "string" else "text"
+    own = docs.select(*[named(n).alias(c) for n, c in zip(names, keep)], *([named(text).cast("string").alias("text")] if read == "text" else []))
     kinds = dict(own.dtypes)
-    return own.transform(in_arrow, run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{output[0]}` double", f"`{output[1]}` int"]))
+    scored = own.transform(in_arrow, run, ", ".join([*(f"{c} {kinds[c]}" for c in keep), "score double, predicted int"]))
+    return scored.toDF(*names, *output)

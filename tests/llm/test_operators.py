@@ -336,3 +336,35 @@ def test_ranker_orders_documents(spark):
 def test_empty_tables(none):
     assert ngram_join.similar_groups(none).count() == 0 and packing.pack_documents(none).count() == 0
     assert mixing.mix(none).count() == 0 and mixing.mixed_rows(none).count() == 0 and attribution.count_tokens(none).count() == 0
+
+
+def test_neighbours_found_with_the_defaults(spark):
+    """Recall against brute force at the default share."""
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    rows = df.toPandas()
+    v, ids = np.stack(rows["embedding"].to_numpy()).astype(float), rows["vec_id"].to_numpy()
+    found = multi_index.search(df, lambda i: i % 20 == 0).toPandas().groupby("query_id")["vec_id"].apply(set)
+    hits = [len(near & set([i for i in ids[np.lexsort((ids, -(v @ v[ids == q][0])))] if i != q][:20])) for q, near in found.items()]
+    assert len(hits) == (ids % 20 == 0).sum() and sum(hits) >= 0.9 * 20 * len(hits)
+
+
+def test_long_local_parts_and_spelled_hints():
+    for n in (3, 99, 150, 5000):
+        text = "write to a1." + "b" * n + " at mail.example.com today"
+        assert [(text[s:e], d) for s, _, e, d in private_data.private_spans(text)] == [(text[9:-6], True)]
+    import pyarrow as pa
+    texts = [None, "", "call ONE two", "one", "\u017fix seven", "phone. nine-", "tenone ", "Zero.", "x" * 100_000 + " oh-"]
+    import re
+    hint = re.compile(private_data._SPELLED_HINT)
+    assert private_data.may_spell(pa.array(texts)) == [hint.search((t or "").lower()) is not None for t in texts]
+
+
+def test_forgetful_encoder_gives_the_same_ids(monkeypatch):
+    path = tokenizing.vocabulary("word_bpe_49k.json")
+    texts = [*_texts(80, 9), "", None, "One, TWO; three! \u00e9t\u00e9 42 a-b"]
+    want = tokenizing.WordEncoder(path).encode(texts)
+    monkeypatch.setattr(tokenizing, "CACHED_WORDS", 20)
+    monkeypatch.setattr(tokenizing, "CACHED_RUNS", 10)
+    few = tokenizing.WordEncoder(path)
+    assert [x for t in texts * 2 for x in few.encode([t])] == want * 2
+    assert len(few.words.old) < 200 and len(few.runs.new) < 200

@@ -27,6 +27,23 @@ def test_stages_take_effect(spark, tmp_path):
     assert stages["packing"](spark, mixed, SF).where("length > 2048").count() == 0
 
 
+def test_no_text_is_lost_and_names_may_clash(spark):
+    """Different texts of one id are each judged alone; columns may be named like inner ones or hold dots."""
+    names = "doc_id long, text string, lang string, source string, n_chars long, __key string, __size int, own int, digest int, one int, score int, `a.b` int"
+    rows = [(1, "one two three four five six"), (1, "quite different words stand here now ok"), (2, "one two three four five six"),
+            (None, "one two three four five six"), (1, "one two three four five six"), (None, "alone but without an id here"), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "K", 7, 1, 2, 3, 4, 5) for i, t in rows], names)
+    stages = dict(corpus_pipeline.STAGES)
+    once = stages["near_duplicates"](spark, docs, SF)
+    assert once.columns == docs.columns and once.select("__key", "__size", "`a.b`").distinct().collect() == [("K", 7, 5)]
+    assert sorted(((r["doc_id"], r["text"]) for r in once.collect()), key=str) == sorted(
+        [(1, rows[0][1]), (1, rows[1][1]), (None, rows[5][1]), (3, None)], key=str)
+    for name in ("private_data", "mixing", "quality"):
+        out = stages[name](spark, docs, SF)
+        assert out.columns == docs.columns
+        assert out.count() == 0 or out.select("__key", "__size", "score", "`a.b`").distinct().collect() == [("K", 7, 4, 5)]
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
