@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.llm import mixing, ngram_join, packing, private_data, quality
-from fieldmark.llm.base import broadcast_if, settle, table
+from fieldmark.llm.base import broadcast_if, free_name, named, settle, table
 
 
 def _lengths(docs: DataFrame) -> DataFrame:
@@ -24,29 +24,39 @@ def _lengths(docs: DataFrame) -> DataFrame:
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the pairwise ranker accepts."""
     ranker = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score_quality(docs, ranker, keep=docs.columns, output=("__score", "__accepted"))
-    return scored.where("__accepted = 1").select(*docs.columns)
+    score, accepted = (free_name(docs.columns, c) for c in ("score", "accepted"))
+    scored = quality.score_quality(docs, ranker, keep=docs.columns, output=(score, accepted))
+    return scored.where(named(accepted) == 1).select(*map(named, docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near duplicates; documents without words all stay."""
+    """The first document of each group of near duplicates (least doc_id); documents without words all stay.
+
+    Documents are told apart by doc_id and text, so different texts of one doc_id are each judged alone.
+    """
     groups = settle(ngram_join.similar_groups(docs).where("set_id is not null"), "groups")
-    keyed = docs.withColumn("__key", ngram_join.document_key("doc_id", "text"))
-    dropped = settle(groups.where("key <> first_key").select(F.col("key").alias("__key")).distinct(), "dropped")
-    kept = keyed.join(broadcast_if(dropped), "__key", "left_anti")
-    # Rows that share a key are copies too: one of them stays.
-    again = settle(groups.where("key = first_key").groupBy(F.col("key").alias("__key")).count().where("count > 1").select("__key"), "again")
+    own, digest, one, other = (free_name(docs.columns, c) for c in ("own", "digest", "one", "other"))
+    rows = docs.withColumns({own: F.col("doc_id").cast("long"), digest: ngram_join.text_key("text")})
+
+    def joined(kept: DataFrame, which: DataFrame, how: str) -> DataFrame:
+        which = which.select(F.col("doc_id").alias(one), F.col("key").alias(other))
+        return kept.join(broadcast_if(which), kept[own].eqNullSafe(which[one]) & (kept[digest] == which[other]), how)
+
+    dropped = settle(groups.where("not is_first").select("doc_id", "key").distinct(), "dropped")
+    kept = joined(rows, dropped, "left_anti")
+    # Rows that share id and text are copies too: one of them stays.
+    again = settle(groups.where("is_first").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"), "again")
     if not again.isEmpty():
-        again = broadcast_if(again)
-        once = kept.join(again, "__key", "left_semi").dropDuplicates(["__key"])
-        kept = kept.join(again, "__key", "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+        once = joined(kept, again, "left_semi").dropDuplicates([own, digest])
+        kept = joined(kept, again, "left_anti").unionByName(once)
+    return kept.select(*map(named, docs.columns))
 
 
 def remove_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with personal data replaced by the name of its kind."""
-    found = private_data.find_private(docs, keep=docs.columns, redacted=True, output=("__spans", "__redacted"))
-    return _lengths(found.withColumn("text", F.col("__redacted")).select(*docs.columns))
+    spans, redacted = (free_name(docs.columns, c) for c in ("spans", "redacted"))
+    found = private_data.find_private(docs, keep=docs.columns, redacted=True, output=(spans, redacted))
+    return _lengths(found.withColumn("text", named(redacted)).select(*map(named, docs.columns)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
