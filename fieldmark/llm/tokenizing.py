@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from operator import add
 
 import numpy as np
 
@@ -17,8 +18,8 @@ CACHED_WORDS, CACHED_RUNS = 120_000, 240_000
 # What str.split() takes for white space though Unicode (and so the tokenizer) does not.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile("[\x20\x09-\x0d]+")
-# Latin letters that are single, composed characters, and trailing punctuation.
-_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:*#$%&]*)")
+# Words, one a line: Latin letters that are single, composed characters, and trailing punctuation, or anything else.
+_WORDS = re.compile("^(?:([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:*#$%&]*)|.*)$", re.MULTILINE)
 
 
 def vocabulary(name: str) -> str:
@@ -80,29 +81,26 @@ class WordEncoder:
 
     def _ids_of_runs(self, runs: list[str]) -> list[bytes]:
         """Ids of runs that are one word each, from one encoding of them all: ids that end a word part them."""
-        ids = np.array(self.model.encode(" ".join(runs), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(self.model.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(runs) or ends[-1] != len(ids):
             return self._ids(runs)
         data, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
         return [data[a:b] for a, b in zip(bounds, bounds[1:])]
 
-    def _learn(self, words: set[str]) -> None:
-        plain, odd, runs = [], [], set()
-        for w in words:
-            if m := _PLAIN.fullmatch(w):
-                run, tail = m[1].lower(), m[2]
-                plain.append((w, run, tail))
-                runs.add(run)
-                if tail:
-                    runs.add(tail)
-            else:
-                odd.append(w)
-        known, fresh = self.runs.new, list(self.runs.missing(runs))
+    def _learn(self, missing: set[str]) -> None:
+        words = list(missing)
+        parts = _WORDS.findall("\n".join(words))     # one (run, tail) a word; no word holds a line break
+        runs = "\n".join([run for run, _ in parts]).lower().split("\n")
+        tails = [tail for _, tail in parts]
+        odd = [w for w, run in zip(words, runs) if not run]
+        known, fresh = self.runs.new, list(self.runs.missing({*runs, *tails} - {""}))
         for start in range(0, len(fresh), 4_000):
             some = fresh[start:start + 4_000]
             known.update(zip(some, self._ids_of_runs(some)))
-        self.words.new.update((w, known[run] + known[tail] if tail else known[run]) for w, run, tail in plain)
+        known[""] = b""                              # of words without a tail, and for now of odd ones
+        ids = known.__getitem__
+        self.words.new.update(zip(words, map(add, map(ids, runs), map(ids, tails))))
         self.words.new.update(zip(odd, self._ids(odd)))
         self.runs.turn()
 
