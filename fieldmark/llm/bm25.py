@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from fieldmark.llm.base import chunks, in_arrow, settle
 
 K1, B = 1.2, 0.75
-# Documents of a shard and of a block within it.
+# Documents of a shard and of a block within it, and postings that close a shard earlier.
 SHARD_DOCS, BLOCK_DOCS = 8_192, 256
-# Queries that meet a shard at once, and shards that a task holds while the queries pass.
-QUERY_BLOCK = 256
+SHARD_POSTINGS = 2_000_000
+# Shards that a task holds while the queries pass.
 GROUP_SHARDS = 4
+# Runs whose largest weights are found at once.
+_RUNS = 65_536
 
 _FIELDS = ["ids", "lengths", "terms", "ends", "postings", "counts"]
 
@@ -40,7 +42,8 @@ def build_shard(ids: list[int], found: list[tuple]) -> list[bytes]:
     main = np.array([t[np.argmax(c)] if len(t) else 0 for t, c, _ in found], np.uint64)
     order = np.lexsort((np.array([n for _, _, n in found]), main))
     terms = np.concatenate([found[i][0] for i in order])
-    counts = np.concatenate([found[i][1] for i in order]).astype(np.int32)
+    counts = np.concatenate([found[i][1] for i in order])
+    counts = counts.astype(np.min_scalar_type(counts.max(initial=0)))   # mostly one byte each
     doc = np.repeat(np.arange(len(order)), [len(found[i][0]) for i in order]).astype(np.uint16)
     by_term = np.argsort(terms, kind="stable")
     different, first = np.unique(terms[by_term], return_index=True)
@@ -63,22 +66,29 @@ class Shard:
     """A shard in memory: postings by term and document, and the largest weight of each term in each block."""
 
     def __init__(self, row: dict, average: float):
-        kinds = (np.int64, np.int64, np.uint64, np.int64, np.uint16, np.int32)
-        self.ids, lengths, self.terms, self.ends, self.doc, counts = (np.frombuffer(row[f], k) for f, k in zip(_FIELDS, kinds))
-        norm = K1 * (1 - B + B * lengths / max(average, 1e-9))
-        # Weights of postings, without the term's idf.
-        self.weight = counts * (K1 + 1) / (counts + norm[self.doc])
+        kinds = (np.int64, np.int64, np.uint64, np.int64, np.uint16)
+        self.ids, lengths, self.terms, self.ends, self.doc = (np.frombuffer(row[f], k) for f, k in zip(_FIELDS, kinds))
+        self.counts = np.frombuffer(row["counts"], f"<u{row['counts'].size // max(1, len(self.doc)) or 1}")
+        self.norm = K1 * (1 - B + B * lengths / max(average, 1e-9))
         self.blocks = -(-len(self.ids) // BLOCK_DOCS)
         block = self.doc // BLOCK_DOCS
         new = np.ones(len(block), bool)
         new[1:] = block[1:] != block[:-1]
         new[self.ends[:-1]] = True
-        self.run_start = np.flatnonzero(new).astype(np.int32)
-        self.run_size = np.diff(self.run_start, append=len(block)).astype(np.int32)
-        self.run_block = block[self.run_start]
-        self.run_max = np.maximum.reduceat(self.weight, self.run_start) if len(block) else np.empty(0)
+        self.run_start = np.append(np.flatnonzero(new), len(block)).astype(np.int32)    # and the end of the last
+        self.run_block = block[self.run_start[:-1]]
+        self.run_max = np.empty(len(self.run_block))
+        for low in range(0, len(self.run_block), _RUNS):
+            bounds = self.run_start[low:low + _RUNS + 1]
+            weights = self._weights(slice(bounds[0], bounds[-1]))
+            self.run_max[low:low + _RUNS] = np.maximum.reduceat(weights, bounds[:-1] - bounds[0])
         self.run_end = np.searchsorted(self.run_start, self.ends)
 
+    def _weights(self, spots) -> np.ndarray:
+        """Weights of some postings, without their terms' idf; made when needed, as they take eight bytes each."""
+        counts = self.counts[spots].astype(np.float64)
+        return counts * (K1 + 1) / (counts + self.norm[self.doc[spots]])
+
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """(doc_id, score) of the best k documents that hold a term; equal scores at the end are all kept.
 
@@ -112,9 +122,9 @@ class Shard:
             stop = min(start + step, int(np.searchsorted(-sorted_bound * (1 + 1e-9), -threshold, "right")))
             low = upto[start - 1] if start else 0
             some, factor = runs[low:upto[stop - 1]], gain[low:upto[stop - 1]]
-            sizes = self.run_size[some]
+            sizes = self.run_start[some + 1] - self.run_start[some]
             spots = _ranges(self.run_start[some], sizes)
-            score = np.bincount(self.doc[spots], weights=self.weight[spots] * np.repeat(factor, sizes))
+            score = np.bincount(self.doc[spots], weights=self._weights(spots) * np.repeat(factor, sizes))
             hit = np.flatnonzero(score > 0)
             best_doc, best = np.concatenate([best_doc, hit]), np.concatenate([best, score[hit]])
             if len(best) > k:
@@ -128,7 +138,7 @@ class Shard:
 def _index(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> one row for each shard: its postings and totals."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, found = [], []
+        ids, found, postings = [], [], 0
 
         def flush():
             lengths = [n for _, _, n in found]
@@ -140,9 +150,10 @@ def _index(docs: DataFrame) -> DataFrame:
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids.append(i)
                 found.append(term_hashes(t))
-                if len(ids) == SHARD_DOCS:
+                postings += len(found[-1][0])
+                if len(ids) == SHARD_DOCS or postings >= SHARD_POSTINGS:
                     yield flush()
-                    ids, found = [], []
+                    ids, found, postings = [], [], 0
         if ids:
             yield flush()
     built = docs.transform(in_arrow, run, "docs long, words long, " + ", ".join(f"{f} binary" for f in _FIELDS))
@@ -156,8 +167,9 @@ def search(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: st
     Words are lower-cased (A-Z) runs without ASCII white space; a query is the set of the
     words of its whole text. Document frequencies, number and mean length are those of
     all documents, so every shard scores alike and the union of the shards' results holds
-    the exact answer. Blocks of queries meet every group of GROUP_SHARDS shards; what a task
-    holds is one group and one block, and the scores found in one shard of a group prune the next. Only documents that share a word are found; ties go to the smaller doc_id.
+    the exact answer. Queries meet every group of GROUP_SHARDS shards; what a task holds is
+    one group and one batch of queries, cut by its bytes, and the scores found in one shard of a
+    group prune the next. Only documents that share a word are found; ties go to the smaller doc_id.
 
     NULL and empty texts are documents of length 0 that nothing finds, and queries
     without results; NULL doc_ids are left out; repeated rows are documents (queries) of
@@ -191,46 +203,39 @@ def search(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: st
     weighted = settle(asked.join(df, "term").groupBy("query_id")
                       .agg(F.sort_array(F.collect_list(F.struct(F.col("term"), F.col("df")))).alias("pairs"))
                       .select("query_id", _sorted_terms("pairs", "term").alias("terms"), _sorted_terms("pairs", "df").alias("dfs")), "weights")
-    blocks = max(1, -(-weighted.count() // QUERY_BLOCK))
-    blocked = (weighted.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-               .agg(F.collect_list(F.struct("query_id", "terms", "dfs")).alias("queries")))
-    # Every block of queries goes to every group of shards. A group's shards come first, the blocks after them.
+    # Every query goes to every group of shards. A group's shards come first, the queries after them.
     numbers = shards.select("shard", F.expr(f"(row_number() OVER (ORDER BY shard) - 1) div {GROUP_SHARDS}").alias("batch"))
     groups = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((count - 1) // GROUP_SHARDS).cast("long")))
-    asks = blocked.select(groups.alias("batch"), F.lit(1).alias("part"), "queries", *[F.lit(None).cast("binary").alias(f) for f in _FIELDS])
-    kind = asks.schema["queries"].dataType
+    asks = weighted.select(groups.alias("batch"), F.lit(1).alias("part"), "query_id", "terms", "dfs",
+                           *[F.lit(None).cast("binary").alias(f"shard_{f}") for f in _FIELDS])
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in weighted.select("query_id", "terms", "dfs").schema]
     dealt = (shards.join(F.broadcast(numbers) if count <= 100_000 else numbers, "shard")
-             .select("batch", F.lit(0).alias("part"), F.lit(None).cast(kind).alias("queries"), *_FIELDS).unionByName(asks)
+             .select("batch", F.lit(0).alias("part"), *none, *[F.col(f).alias(f"shard_{f}") for f in _FIELDS]).unionByName(asks)
              .repartition("batch").sortWithinPartitions("batch", "part"))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, group = [], None
         for batch in batches:
-            for i in range(batch.num_rows):
-                if batch.column("part")[i].as_py() == 0:
-                    number = batch.column("batch")[i].as_py()
+            out = []
+            for i, (part, number, q) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "batch", "query_id")))):
+                if part == 0:
                     if number != group:
                         held, group = [], number  # one group at a time
-                    held.append(Shard({f: batch.column(f)[i].as_py() for f in _FIELDS}, average))
+                    held.append(Shard({f: batch.column(f"shard_{f}")[i].as_buffer() for f in _FIELDS}, average))
                     continue
-                asking = batch.column("queries").slice(i, 1).flatten()
-                ids, lists = asking.field("query_id").to_pylist(), asking.field("terms")
-                bounds = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))])
-                term = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                df = asking.field("dfs").flatten().to_numpy(zero_copy_only=False)
-                idfs = np.log1p((total - df + 0.5) / (df + 0.5))
-                out = []
-                for q, low, high in zip(ids, bounds, bounds[1:]):
-                    ascending = np.argsort(term[low:high])
-                    terms, idf = term[low:high][ascending], idfs[low:high][ascending]
-                    found, score, floor = np.empty(0, np.int64), np.empty(0), 0.0
-                    for shard in held:
-                        more = shard.search(terms, idf, k, floor)
-                        found, score = np.concatenate([found, more[0]]), np.concatenate([score, more[1]])
-                        if len(found) >= k:
-                            best = np.lexsort((found, -score))[:k]
-                            found, score, floor = found[best], score[best], score[best[-1]]
-                    out.append((np.full(len(found), q, np.int64), found, score))
+                term = batch.column("terms")[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                df = batch.column("dfs")[i].values.to_numpy(zero_copy_only=False)
+                ascending = np.argsort(term)
+                terms, idf = term[ascending], np.log1p((total - df + 0.5) / (df + 0.5))[ascending]
+                found, score, floor = np.empty(0, np.int64), np.empty(0), 0.0
+                for shard in held:
+                    more = shard.search(terms, idf, k, floor)
+                    found, score = np.concatenate([found, more[0]]), np.concatenate([score, more[1]])
+                    if len(found) >= k:
+                        best = np.lexsort((found, -score))[:k]
+                        found, score, floor = found[best], score[best], score[best[-1]]
+                out.append((np.full(len(found), q, np.int64), found, score))
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "doc_id", "score"])
 
     found = dealt.transform(in_arrow, answer, "query_id long, doc_id long, score double")
