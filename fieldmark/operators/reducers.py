@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from threading import Lock
 
 import numpy as np
@@ -24,6 +25,8 @@ from fieldmark.session import settle
 # side by side in one driver.
 EIGEN_LOCK = Lock()
 
+TASK_CELLS = 16_000_000  # rows times columns that one task may hold as doubles
+
 REDUCERS = ["none", "pca", "ica", "random_projection"]
 
 
@@ -151,8 +154,9 @@ def fit_ica(df: DataFrame, k: int | None, input_col: str, output_col: str, seed:
             max_iter: int = 1000, tol: float = 1e-3) -> PipelineModel:
     """Independent components (FastICA, Hyvarinen 1999): symmetric, tanh, unit variance.
 
-    The data is whitened to k columns once and kept; every round then sums k x k
-    numbers per partition, so a round reads rows x k values and moves next to nothing.
+    The data is whitened to k columns once and kept. Rows that fit a task are iterated there;
+    of more rows, every round sums k x k numbers per partition, so it reads rows x k values and
+    moves next to nothing.
     Components come out by falling |excess kurtosis|, the largest weight positive.
     """
     n, mean, cov = moments(df, input_col)
@@ -164,19 +168,21 @@ def fit_ica(df: DataFrame, k: int | None, input_col: str, output_col: str, seed:
     whiten = vectors[:, top] / np.sqrt(values[top])            # d x k
     white = settle(Projection.of(whiten, input_col, "z", shift=mean).transform(df)
                    .select(vector_to_array("z").alias("z")), "white")
-    white = white.persist(StorageLevel.MEMORY_AND_DISK)        # read once per round
-
-    w = _decorrelate(np.random.default_rng(seed).normal(size=(k, k)))
-    for _ in range(max_iter):
-        gz, slope = _round_sums(white, w)
-        new = _decorrelate(gz / n - (slope / n)[:, None] * w)
-        change = np.max(np.abs(np.abs(np.einsum("ij,ij->i", new, w)) - 1))
-        w = new
-        if change < tol:
-            break
+
+    def rounds(sums) -> tuple[np.ndarray, np.ndarray]:
+        w = _decorrelate(np.random.default_rng(seed).normal(size=(k, k)))
+        for _ in range(max_iter):
+            gz, slope = _round_sums(sums, w)
+            new = _decorrelate(gz / n - (slope / n)[:, None] * w)
+            change = np.max(np.abs(np.abs(np.einsum("ij,ij->i", new, w)) - 1))
+            w = new
+            if change < tol:
+                break
+        return w, sums(k, lambda z: ((z @ w.T) ** 4).sum(axis=0))
+
+    w, fourth = iterate(white, n * k, rounds)
     unmix = whiten @ w.T                                       # d x k
-    unmix = unmix[:, np.argsort(-np.abs(_fourth_moments(white, w) / n - 3.0))]
-    white.unpersist()
+    unmix = unmix[:, np.argsort(-np.abs(fourth / n - 3.0))]
     signs = np.sign(unmix[np.argmax(np.abs(unmix), axis=0), range(k)])
     return PipelineModel([Projection.of(unmix * signs, input_col, output_col, shift=mean)])
 
@@ -203,19 +209,37 @@ def _partial_sums(white: DataFrame, size: int, block) -> np.ndarray:
     return out
 
 
-def _round_sums(white: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def iterate(data: DataFrame, cells: int, rounds, task_cells: int | None = None):
+    """rounds(sums) for an iteration that only needs sums(size, block) over the rows of the column `z`.
+
+    `cells`, rows times columns, decides where: up to TASK_CELLS all rounds run in one task that holds
+    the rows; beyond that each sum is a job that moves one small array per partition.
+    """
+    if cells > (TASK_CELLS if task_cells is None else task_cells):
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)      # read once per round
+        try:
+            return rounds(lambda size, block: _partial_sums(data, size, block))
+        finally:
+            data.unpersist()
+
+    def run(batches):
+        kept = [np.stack(pdf["z"].to_numpy()) for pdf in batches if len(pdf)]
+        z = np.concatenate(kept) if kept else None
+        out = rounds(lambda size, block: np.zeros(size) if z is None else block(z))
+        yield pd.DataFrame({"out": [pickle.dumps(out)]})
+
+    return pickle.loads(data.coalesce(1).mapInPandas(run, "out binary").first()["out"])
+
+
+def _round_sums(sums, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     k = len(w)
 
     def block(z: np.ndarray) -> np.ndarray:
         g = np.tanh(z @ w.T)
         return np.concatenate([(g.T @ z).ravel(), (1.0 - g * g).sum(axis=0)])
 
-    sums = _partial_sums(white, k * k + k, block)
-    return sums[:k * k].reshape(k, k), sums[k * k:]
-
-
-def _fourth_moments(white: DataFrame, w: np.ndarray) -> np.ndarray:
-    return _partial_sums(white, len(w), lambda z: ((z @ w.T) ** 4).sum(axis=0))
+    found = sums(k * k + k, block)
+    return found[:k * k].reshape(k, k), found[k * k:]
 
 
 def fit_reducer(kind: str, df: DataFrame, k: int | None, input_col: str, output_col: str,

@@ -219,6 +219,22 @@ def test_comparison(spark, tmp_path):
         write_comparison(spark, df, "tennis", str(tmp_path / "cmp"))
 
 
+def test_rounds_in_one_task_and_by_jobs_agree(spark, monkeypatch):
+    from fieldmark.operators import mixture, reducers
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.laplace(size=(40, 3)), rng.laplace(size=(40, 3)) + 6.0]) @ rng.normal(size=(3, 3))
+    df = _frame(spark, x).repartition(3)
+    made = []
+    for cells in (10_000, 0):
+        monkeypatch.setattr(reducers, "TASK_CELLS", cells)
+        ica = reducers.fit_ica(df, 3, "features", "out").stages[0]
+        gmm = mixture.fit_mixture(df.coalesce(1), 2, "features", "cluster")
+        made.append((ica.matrix(), np.array(gmm.getOrDefault(gmm.means)), np.array(gmm.getOrDefault(gmm.logWeights))))
+    for one, other in zip(*made):
+        assert np.allclose(one, other, rtol=1e-6, atol=1e-8)
+
+
 def test_mixture_with_fewer_rows_than_columns(spark):
     """A covariance without full rank must not spoil the fit."""
     rng = np.random.default_rng(8)
