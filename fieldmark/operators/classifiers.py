@@ -14,7 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.operators import boosting, neighbors
+from fieldmark.operators import boosting, margins, neighbors
 from fieldmark.operators.preprocess import width
 from fieldmark.operators.reducers import Projection
 
@@ -58,11 +58,14 @@ class FittedNeighbours:
         return neighbors.predict(df, self.train, self.k, self.features, "label", self.key)
 
 
-def _svm(features: str, rows: int, effort: Effort) -> list:
+def _svm(df: DataFrame, features: str, rows: int, effort: Effort) -> list:
     """Linear SVM and a logistic fit of its margin (Platt 1999).
 
-    One unit of cost per row stands against the penalty, hence 1/rows.
+    One unit of cost per row stands against the penalty, hence 1/rows. Rows that fit a task
+    are solved there, which gives the optimum that the iterations approach.
     """
+    if rows <= margins.TASK_ROWS:
+        return margins.fit_in_task(df, features, effort.svm_iterations)
     return [
         LinearSVC(featuresCol=features, maxIter=effort.svm_iterations, regParam=1.0 / rows,
                   standardization=False, rawPredictionCol="margin"),
@@ -110,10 +113,10 @@ def fit(name: str, df: DataFrame, features: str = "features", key: str = "id", s
         stages = [LogisticRegression(featuresCol=features, maxIter=effort.linear_iterations,
                                      regParam=1.0 / rows, standardization=False)]
     elif name == "svm_linear":
-        stages = _svm(features, rows, effort)
+        stages = _svm(df, features, rows, effort)
     elif name == "svm_rbf":
         waves = fourier_features(df, features, "waves", effort.fourier_features, seed)
-        stages = [waves] + _svm("waves", rows, effort)
+        stages = [waves] + _svm(waves.transform(df), "waves", rows, effort)
     elif name == "knn":
         return FittedNeighbours(df, features, key)
     elif name == "random_forest":
