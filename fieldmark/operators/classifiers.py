@@ -14,7 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.operators import boosting, margins, neighbors
+from fieldmark.operators import boosting, forests, margins, neighbors
 from fieldmark.operators.preprocess import width
 from fieldmark.operators.reducers import Projection
 
@@ -120,8 +120,9 @@ def fit(name: str, df: DataFrame, features: str = "features", key: str = "id", s
     elif name == "knn":
         return FittedNeighbours(df, features, key)
     elif name == "random_forest":
-        stages = [RandomForestClassifier(featuresCol=features, numTrees=effort.trees,
-                                         maxDepth=effort.tree_depth, seed=seed)]
+        small = rows <= forests.TASK_ROWS and rows * width(df, features) <= forests.TASK_CELLS
+        stages = [forests.fit_in_tasks(df, features, effort.trees, effort.tree_depth, seed) if small else
+                  RandomForestClassifier(featuresCol=features, numTrees=effort.trees, maxDepth=effort.tree_depth, seed=seed)]
     elif name == "xgboost":
         growth = boosting.Growth(effort.boosting_rounds, 4, 0.1, 0.9, 0.9, seed=seed)
         rows = df.select(F.lit(name).alias("problem"), features, "label")
