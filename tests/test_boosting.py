@@ -102,3 +102,25 @@ def test_labels_missing_or_all_alike(spark):
     df = df.unionByName(df.limit(3).withColumn("label", F.lit(None).cast("double")))
     found = boosting.grow(df, {"one": "classification", "flat": "regression"}, Growth(rounds=3))
     assert np.allclose(found["flat"].margins(x), 3.5) and (found["one"].margins(x) > 3).all()
+
+
+@pytest.mark.parametrize("cells", [boosting.TASK_CELLS, 0])
+def test_rows_of_the_same_bins_are_grown_as_one(spark, cells):
+    """Six copies of each row, one in six with another label: few rows are left, trees are those of all rows."""
+    x, y = _data(150, seed=4)
+    x, y = np.repeat(x, 6, axis=0), np.repeat(y, 6) + np.tile([0, 0, 0, 0, 0, 1.5], 150)
+    problems = {"points": (x, y), "win": (x, (y > 0).astype(float))}
+    kinds = {"points": "regression", "win": "classification"}
+    growth = Growth(rounds=4, depth=3, rate=0.3)
+    found = boosting.grow(_frame(spark, problems), kinds, growth, task_cells=cells, merge_rows=100)
+    for name, (a, b) in problems.items():
+        assert np.allclose(found[name].margins(a), _plain(a, b, kinds[name], growth), atol=1e-5), name
+
+
+def test_merged_rows_reach_tasks_with_their_weight(spark):
+    x, y = _data(150, seed=4)
+    df = _frame(spark, {"p": (np.repeat(x, 6, axis=0), np.repeat(y, 6))})
+    growth = Growth(rounds=3, depth=3, rate=0.3)
+    merged = boosting.grow(df, {"p": "regression"}, growth, task_cells=150 * 4, merge_rows=100)["p"]
+    apart = boosting.grow(df, {"p": "regression"}, growth, task_cells=0, merge_rows=100)["p"]
+    assert merged.getOrDefault("value") == apart.getOrDefault("value")
