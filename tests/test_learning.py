@@ -321,3 +321,24 @@ def test_best_cell_is_applied(spark, tmp_path, model):
     path = refit_best(spark, board, {"d": silver}, cfg, str(tmp_path / model), effort=SHORT)["d"]
     rows = learning._apply_best(spark, path, learning._best_model(board), silver).collect()
     assert len(rows) == 80 and {r["prediction"] for r in rows} == {0.0, 1.0}
+
+
+def test_neighbours_hold_few_distances_at_once():
+    """1,500 test rows against 4,000 train rows: beside the rows only some of the distances are in memory."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    train, test = rng.integers(0, 3, (4_000, 4)).astype(float), rng.integers(0, 3, (1_500, 4)).astype(float)
+    part = pd.DataFrame({"id": np.arange(1_500), "x": list(test)})
+    tracemalloc.start()
+    found = pd.concat(list(neighbors._Block(train, np.arange(4_000)[::-1], np.zeros(4_000)).best(part, 7)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_500 * 4_000 * 8 * 1.5
+    distance = ((test[:20, None, :] - train[None, :, :]) ** 2).sum(2)
+    for i in range(20):
+        order = np.lexsort((np.arange(4_000)[::-1], distance[i]))[:7]
+        mine = found[found["id"] == i]
+        assert mine["neighbour"].tolist() == (3_999 - order).tolist() and mine["distance"].tolist() == distance[i][order].tolist()
