@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions.geometry import box_iou, pose_similarity
 from fieldmark.operators.hotkeys import broadcast_small, join_unique
-from fieldmark.operators.ordered import find_segments, following_max, running_sums
+from fieldmark.operators.ordered import SEGMENT, Segments, find_segments, null_safe_join, segment_totals
 from fieldmark.session import settle
 
 # --- fixed values of the published evaluation ---------------------------------
@@ -19,6 +19,7 @@ BOX_DETECTIONS = 100        # best scored detections looked at per image and cla
 POSE_DETECTIONS = 20
 
 _GROUP = ["image_id", "category_id"]
+_ORDER = ["__down", "image_id", "det_id"]
 Similarity = Callable[[Column, Column, Column], Column]
 
 
@@ -80,47 +81,62 @@ def _greedy(queue: Column, threshold: float) -> Column:
     return F.reduce(queue, start, step, lambda state: state["ranks"])
 
 
-def precision_recall(matches: DataFrame, truths: DataFrame, thresholds: list[float] = THRESHOLDS,
-                     limit: int | None = None) -> DataFrame:
-    """One row per hit: its count so far, the precision there and the best precision from there on.
+def _narrow(matches: DataFrame, limit: int | None) -> tuple[DataFrame, Segments | None]:
+    """Detections in as few bytes as they need: the order, and all hits as the bits of one number."""
+    rows = matches.select(
+        "category_id", (-F.col("score")).alias("__down"), "image_id", "det_id",
+        F.aggregate("hit", F.lit(0).cast("long"), lambda bits, one: bits * 2 + one).alias("__bits"))
+    return rows, find_segments(rows, ["category_id"], _ORDER, limit)
+
 
-    result: category_id, threshold, truths, hits, precision, envelope
+def precision_steps(matches: DataFrame, truths: DataFrame, thresholds: list[float] = THRESHOLDS,
+                    limit: int | None = None) -> DataFrame:
+    """The best precision at each recall, recall in whole hundredths: at most 101 rows per class and threshold.
 
-    All thresholds share one ordering of the detections: they are columns side
-    by side in the windows and become rows only afterwards.
+    result: category_id, at (number of the threshold), step, precision
+
+    Detections move once, in the order of their scores; all thresholds are counted side by
+    side there, and only the best of each step leaves the task.
     """
+    keys, at = ["category_id"], range(len(thresholds))
+    rows, seg = _narrow(matches, limit)
     per_class = truths.groupBy("category_id").agg(F.count(F.lit(1)).alias("truths"))
-    keys, order = ["category_id"], ["__down", "image_id", "det_id"]
-    at = range(len(thresholds))
-    rows = matches.select(
-        *keys, "image_id", "det_id", (-F.col("score")).alias("__down"), F.lit(1).cast("bigint").alias("__one"),
-        *[F.get("hit", F.lit(i)).cast("bigint").alias(f"__hit{i}") for i in at])
-    seg = find_segments(rows, keys, order, limit)
-    run = running_sums(rows, keys, order, {"__seen": "__one"} | {f"__n{i}": f"__hit{i}" for i in at},
-                       segments=seg)
-    # Precision peaks at hits, and recall moves only there.
-    run = run.withColumns({f"__p{i}": F.when(F.col(f"__hit{i}") == 1, F.col(f"__n{i}") / F.col("__seen"))
-                           for i in at})
-    curve = following_max(run, keys, order, {f"__e{i}": f"__p{i}" for i in at}, segments=seg)
-    points = F.explode(F.array(*[
-        F.struct(F.lit(t).alias("threshold"), F.col(f"__n{i}").alias("hits"),
-                 F.col(f"__p{i}").alias("precision"), F.col(f"__e{i}").alias("envelope"))
-        for i, t in enumerate(thresholds)])).alias("p")
-    return (curve.select(*keys, points).select(*keys, "p.*").where(F.col("precision").isNotNull())
-            .join(broadcast_small(per_class), "category_id"))
+    if seg is None:
+        rows, parts = rows.withColumn(SEGMENT, F.lit(0)), keys
+    else:
+        rows, parts = seg.tag(rows), [*keys, SEGMENT]
+    bit = [F.shiftright("__bits", len(thresholds) - 1 - i).bitwiseAND(F.lit(1)) for i in at]
+    # Sorted while rows are narrow; the columns of the thresholds are made behind the sort.
+    ordered = (rows.repartition(*parts).sortWithinPartitions(*parts, *_ORDER)
+               .withColumns({"__one": F.lit(1).cast("long")} | {f"__hit{i}": b for i, b in zip(at, bit)}))
+    sums = {"__seen": "__one"} | {f"__n{i}": f"__hit{i}" for i in at}
+    w = Window.partitionBy(*parts).orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    run = ordered.withColumns({out: F.sum(c).over(w) for out, c in sums.items()})
+    if seg is not None:
+        carried = segment_totals(rows.withColumns({"__one": F.lit(1).cast("long")} | {f"__hit{i}": b for i, b in zip(at, bit)}), seg, sums)
+        run = (null_safe_join(run, carried, parts)
+               .withColumns({out: F.col(out) + F.coalesce(f"__b_{out}", F.lit(0)) for out in sums}))
+    counted = run.join(broadcast_small(per_class), "category_id")
+    hits = F.filter(F.array(*[
+        F.when(F.col(f"__hit{i}") == 1, F.struct(
+            F.lit(i).alias("at"), F.expr(f"({RECALL_STEPS} * __n{i}) div truths").alias("step"),
+            (F.col(f"__n{i}") / F.col("__seen")).alias("precision"))) for i in at]), F.isnotnull)
+    return (counted.select(*keys, F.explode(hits).alias("p")).select(*keys, "p.*")
+            .groupBy(*keys, "at", "step").agg(F.max("precision").alias("precision")))
 
 
 def average_precision(matches: DataFrame, truths: DataFrame,
                       thresholds: list[float] = THRESHOLDS, limit: int | None = None) -> DataFrame:
     """(category_id, threshold, ap) for the classes that have truths."""
-    curve = precision_recall(matches, truths, thresholds, limit)
-
-    # Recall points reached by the k-th of n truths: those above (k-1)/n up to k/n,
-    # in whole numbers; the first one also reaches recall 0.
-    points = F.expr(f"({RECALL_STEPS} * hits) div truths - "
-                    f"CASE WHEN hits = 1 THEN -1 ELSE ({RECALL_STEPS} * (hits - 1)) div truths END")
-    found = (curve.groupBy("category_id", "threshold")
-             .agg((F.sum(F.col("envelope") * points) / (RECALL_STEPS + 1)).alias("ap")))
+    # A recall point takes the best precision from the first hit that reaches it on: the best
+    # of its step and those behind. A step stands for all points above the step before.
+    behind = Window.partitionBy("category_id", "at").orderBy(F.desc("step"))
+    before = Window.partitionBy("category_id", "at").orderBy("step")
+    steps = (precision_steps(matches, truths, thresholds, limit)
+             .withColumn("envelope", F.max("precision").over(behind.rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("points", F.col("step") - F.lag("step", 1, -1).over(before)))
+    found = (steps.groupBy("category_id", F.element_at(F.array(*[F.lit(t) for t in thresholds]), F.col("at") + 1).alias("threshold"))
+             .agg((F.sum(F.col("envelope") * F.col("points")) / (RECALL_STEPS + 1)).alias("ap")))
     # Classes without any hit are no rows of `found` and count with 0.
     wanted = truths.select("category_id").distinct().select(
         "category_id", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))

@@ -89,3 +89,19 @@ def test_best_is_a_parameter(spark):
     assert det.left_out(found).first()["left_out"] == 0
     assert det.box_map(found, truths, best=1).first()["detect_map"] == 0
     assert det.box_map(found, truths).first()["detect_map"] > 0
+
+
+@pytest.mark.parametrize("limit", [None, 100])
+def test_a_class_of_many_hits_leaves_few_rows(spark, limit):
+    """600 hits on 600 truths: the tasks send one row for each hundredth of the recall and threshold, not one a hit."""
+    rng = random.Random(3)
+    box = [0.0, 0.0, 10.0, 10.0]
+    truths = [(i, 0, 0, box, 1.0) for i in range(600)]
+    dets = [(i, 0, 0, rng.randrange(50) / 50, box if rng.random() < 0.8 else [7.0, 7.0, 10.0, 10.0]) for i in range(600)]
+    d = spark.createDataFrame(dets, "image_id int, category_id int, det_id int, score double, shape array<double>")
+    g = spark.createDataFrame(truths, "image_id int, category_id int, truth_id int, shape array<double>, area double")
+    found = det.match(d, g, thresholds=[0.5, 0.75]).cache()
+    steps = det.precision_steps(found, g, [0.5, 0.75], limit)
+    assert steps.groupBy("category_id", "at").count().where("count > 101").isEmpty()
+    for r in det.average_precision(found, g, [0.5, 0.75], limit).collect():
+        assert abs(r["ap"] - _ap(dets, truths, 0, r["threshold"], 100)) < 1e-9
