@@ -64,3 +64,26 @@ def test_forest_scores_like_its_trees_whatever_the_blocks(spark, monkeypatch, tm
     again.model.write().overwrite().save(str(tmp_path / "m"))
     read = classifiers.Fitted(PipelineModel.load(str(tmp_path / "m"))).predict(df).orderBy("id").toPandas()
     assert np.allclose(read.score, want, atol=1e-12)
+
+
+def test_forest_of_many_rows_stays_in_files(spark, monkeypatch, tmp_path):
+    """No node reaches the driver, scores are those of the trees, and a saved model brings its trees along."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(150, 5)), 1)
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    df = spark.createDataFrame([(i, r, c) for i, (r, c) in enumerate(zip(x.tolist(), y.tolist()))], "id long, a array<double>, label double") \
+        .select("id", array_to_vector("a").alias("features"), "label").cache()
+    monkeypatch.setattr(forests, "MODEL_ROWS", 100)
+    monkeypatch.setattr(forests, "TILE_ROWS", 40)
+    model = classifiers.fit("random_forest", df, effort=classifiers.Effort(trees=23, tree_depth=30))
+    assert isinstance(model.model.stages[0], forests.StoredForest)
+    order = np.lexsort([y, *x.T[::-1]])
+    trees = [forests.grow_tree(x[order], y[order], np.random.default_rng([42, t]), 30) for t in range(23)]
+    want = np.array([np.mean([_walk(t, r) for t in trees]) for r in x])
+    got = model.predict(df.unionByName(df.where("id < 7"))).orderBy("id").toPandas()
+    assert len(got) == 157 and np.allclose(got.score, want[got.id], atol=1e-12) and ((got.score > 0.5) == (got.prediction == 1)).all()
+    model.model.write().overwrite().save(str(tmp_path / "m"))
+    loaded = PipelineModel.load(str(tmp_path / "m"))
+    assert loaded.stages[0].getOrDefault("path").startswith(str(tmp_path))
+    read = classifiers.Fitted(loaded).predict(df).orderBy("id").toPandas()
+    assert np.allclose(read.score, want, atol=1e-12)
