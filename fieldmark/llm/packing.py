@@ -158,7 +158,7 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for batch in chunks(batches, "text"):
             if packer is None:
                 packer = Packer(capacity, batch.column("part")[0].as_py() << _TASK_BITS)
-            ids = encoder.encode(batch.column("text").to_pylist())
+            ids = encoder.encode(batch.column("text"))
             for doc, own in zip(batch.column("doc_id").to_pylist(), ids):
                 packer.add(doc, own + end)
                 if packer.held > lookahead:

@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import base64
 import os
-import re
-from operator import add
+from itertools import compress
 
 import numpy as np
+import pyarrow as pa
 
 from fieldmark.llm.base import worker_state
 
-# Words and runs of letters whose ids a worker keeps, in two generations each: what was not met
+# Tokens whose ids a worker keeps, other ones and plain ones, in two generations each: what was not met
 # again while the newer one filled is forgotten (results do not depend on it).
-CACHED_WORDS, CACHED_RUNS = 120_000, 240_000
+CACHED_WORDS, CACHED_RUNS = 60_000, 300_000
 
-# What str.split() takes for white space though Unicode (and so the tokenizer) does not.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
-_SPACE = re.compile("[\x20\x09-\x0d]+")
-# Words, one a line: Latin letters that are single, composed characters, and trailing punctuation, or anything else.
-_WORDS = re.compile("^(?:([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:*#$%&]*)|.*)$", re.MULTILINE)
+# Bytes of text that are cut into tokens at once; a window ends at white space or with its text.
+WINDOW_BYTES = 4_000_000
+
+# What single bytes are: the letters are those of ASCII, and Latin-1's by their two bytes.
+_OTHER, _SPACE, _LETTER, _MARK = range(4)
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[list(b" \t\n\v\f\r")] = _SPACE
+_KINDS[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = _LETTER
+_KINDS[list(b".,!?;:*#$%&")] = _MARK
+_LEAD, _TIMES, _DIVIDED, _SMALL = 0xC3, 0x97, 0xB7, 0x9F     # of two bytes: the first of \xc0 to \xff, the second of \xd7, \xf7 and \xdf
 
 
 def vocabulary(name: str) -> str:
@@ -29,8 +34,28 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _split(text: str) -> list[str]:
-    return _SPACE.split(text) if any(c in text for c in _SEPARATORS) else text.split()
+def tokens_of(text: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Tokens of the UTF-8 bytes of texts that begin at `starts`: the tokens, where each begins, which are plain.
+
+    Texts are cut at ASCII white space and between a Latin-1 letter and a mark. A plain token consists of
+    such letters, in lower case, or of marks; any other one is as it was.
+    """
+    kind, after = _KINDS[text], np.flatnonzero(text[:-1] == _LEAD) + 1
+    after = after[(text[after] != _TIMES) & (text[after] != _DIVIDED)]
+    kind[after] = kind[after - 1] = _LETTER
+    before = np.empty_like(kind)
+    before[:1], before[1:] = _SPACE, kind[:-1]
+    before[starts] = _SPACE
+    begins = (before == _SPACE) & (kind != _SPACE) | (before == _LETTER) & (kind == _MARK) | (before == _MARK) & (kind == _LETTER)
+    # Capitals: Latin-1's lie below the sharp s, at the same distance from their small letters as ASCII's.
+    capital = (text >= ord("A")) & (text <= ord("Z"))
+    capital[after] = text[after] < _SMALL
+    kept = kind != _SPACE
+    at, text, other, capital = np.flatnonzero(begins), text[kept], kind[kept] == _OTHER, capital[kept]
+    bounds = np.append(np.flatnonzero(begins[kept]), len(text))
+    plain = ~np.logical_or.reduceat(other, bounds[:-1]) if len(at) else np.zeros(0, bool)
+    text += 32 * (capital & np.repeat(plain, np.diff(bounds))).view(np.uint8)
+    return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(text)), at, plain
 
 
 class Recent:
@@ -58,9 +83,9 @@ class WordEncoder:
     """Ids of whole texts for a tokenizer that drops white space and splits at it.
 
     Such a tokenizer gives a text the ids of its words one after the other, so words
-    are encoded once and looked up afterwards. A word of Latin letters with
-    punctuation behind is split there, as the tokenizer itself does, and lower-cased
-    first, as it does too; any other word goes to the tokenizer as it is.
+    are encoded once and looked up afterwards. Words are split between letters and
+    marks, as the tokenizer itself does, and their letters lower-cased first, as it
+    does too; any other token goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str):
@@ -88,31 +113,63 @@ class WordEncoder:
         data, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
         return [data[a:b] for a, b in zip(bounds, bounds[1:])]
 
-    def _learn(self, missing: set[str]) -> None:
-        words = list(missing)
-        parts = _WORDS.findall("\n".join(words))     # one (run, tail) a word; no word holds a line break
-        runs = "\n".join([run for run, _ in parts]).lower().split("\n")
-        tails = [tail for _, tail in parts]
-        odd = [w for w, run in zip(words, runs) if not run]
-        known, fresh = self.runs.new, list(self.runs.missing({*runs, *tails} - {""}))
+    def _known(self, tokens: list[str], plain: np.ndarray) -> list[bytes]:
+        """Ids of different tokens; those that are not known are learnt."""
+        fresh = list(self.runs.missing(set(compress(tokens, plain))))
         for start in range(0, len(fresh), 4_000):
             some = fresh[start:start + 4_000]
-            known.update(zip(some, self._ids_of_runs(some)))
-        known[""] = b""                              # of words without a tail, and for now of odd ones
-        ids = known.__getitem__
-        self.words.new.update(zip(words, map(add, map(ids, runs), map(ids, tails))))
+            self.runs.new.update(zip(some, self._ids_of_runs(some)))
+        others = list(compress(tokens, ~plain))
+        odd = list(self.words.missing(set(others)))
         self.words.new.update(zip(odd, self._ids(odd)))
+        ids = list(map(self.runs.new.get, tokens))
+        for i, token in zip(np.flatnonzero(~plain).tolist(), others):
+            ids[i] = self.words.new[token]
         self.runs.turn()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32 bit numbers; NULL is an empty text."""
-        split = [_split(t) if t else [] for t in texts]
-        if missing := self.words.missing(set().union(*split)):
-            self._learn(missing)
-        known = self.words.new.__getitem__
-        out = [b"".join(map(known, words)) for words in split]
         self.words.turn()
-        return out
+        return ids
+
+    def _ids_of_window(self, text: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """Ids of the texts between the bounds."""
+        tokens, at, plain = tokens_of(text, bounds[:-1][bounds[:-1] < len(text)])
+        coded = tokens.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        plain_codes = np.zeros(len(coded.dictionary), bool)
+        plain_codes[codes] = plain
+        known = pa.array(self._known(coded.dictionary.to_pylist(), plain_codes), pa.large_binary())
+        found = known.take(coded.indices)
+        if not len(found):
+            return [b""] * (len(bounds) - 1)
+        _, ends, data = found.buffers()
+        ends = np.frombuffer(ends, np.int64)[np.searchsorted(at, bounds)].tolist()
+        return [data[a:b].to_pybytes() for a, b in zip(ends, ends[1:])]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32 bit numbers; NULL is an empty text."""
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).fill_null("").cast(pa.large_string())
+        _, bounds, data = texts.buffers()
+        bounds = np.frombuffer(bounds, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        text = np.frombuffer(data or b"", np.uint8)
+        out: list[list[bytes]] = [[] for _ in range(len(texts))]
+        start, last = int(bounds[0]), int(bounds[-1])
+        while start < last:
+            end = start + WINDOW_BYTES
+            if end < last:
+                upto = int(bounds[np.searchsorted(bounds, end)])     # where the text ends that holds it
+                end = next((at + i for at in range(end, upto, 4_096) if (i := _first_space(text[at:min(at + 4_096, upto)])) >= 0), upto)
+            end = min(end, last)
+            first, beyond = int(np.searchsorted(bounds, start, side="right")) - 1, int(np.searchsorted(bounds, end))
+            inside = np.clip(bounds[first:beyond + 1], start, end) - start
+            for i, ids in enumerate(self._ids_of_window(text[start:end], inside), first):
+                out[i].append(ids)
+            start = end
+        return [b"".join(parts) for parts in out]
+
+
+def _first_space(text: np.ndarray) -> int:
+    """Position of the first white space, -1 without."""
+    found = _KINDS[text] == _SPACE
+    return int(found.argmax()) if found.any() else -1
 
 
 def word_encoder(path: str) -> WordEncoder:

@@ -368,3 +368,29 @@ def test_forgetful_encoder_gives_the_same_ids(monkeypatch):
     few = tokenizing.WordEncoder(path)
     assert [x for t in texts * 2 for x in few.encode([t])] == want * 2
     assert len(few.words.old) < 200 and len(few.runs.new) < 200
+
+
+def test_windows_and_marks_inside_words_give_the_tokenizers_ids(monkeypatch):
+    encoder = tokenizing.WordEncoder(tokenizing.vocabulary("word_bpe_49k.json"))
+    rng = random.Random(4)
+    alphabet = ["a", "B", "J", "\u00c9", "\u00de", "\u00df", "\u00ff", "\u00d7", "\u00f7", "\u0130", "\u030c", "\u0338", "'S", "'", ".", ",",
+                "!", "#", "=", "1", " ", "\n", "\xa0", "\u3000", "\u4e2d", "<|ENDOFTEXT|>", "<|endoftext|>", "the", "ING"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    for window in (5, 64, 1_000_000):
+        monkeypatch.setattr(tokenizing, "WINDOW_BYTES", window)
+        for t, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == encoder.model.encode(t, add_special_tokens=False).ids, repr(t)
+    assert encoder.encode([]) == [] and encoder.encode([None, "", " \n"]) == [b"", b"", b""]
+    import pyarrow as pa
+    assert encoder.encode(pa.array(["no", None, *texts]).slice(2)) == encoder.encode(texts)
+
+
+def test_encoding_a_long_text_needs_no_object_a_word():
+    import tracemalloc
+    encoder = tokenizing.WordEncoder(tokenizing.vocabulary("word_bpe_49k.json"))
+    text = "some words of one long text, twice. " * 400_000
+    tracemalloc.start()
+    ids = encoder.encode([text])[0]
+    peak = tracemalloc.get_traced_memory()[1] - 2 * len(ids)      # the parts and the whole
+    tracemalloc.stop()
+    assert len(ids) == 4 * 9 * 400_000 and peak < 6 * len(text)
