@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.llm import mixing, ngram_join, packing, private_data, quality
-from fieldmark.llm.base import broadcast_if, free_name, named, settle, table
+from fieldmark.llm.base import broadcast_if, free_name, limit_batches, named, settle, table
+
+# Bytes of an Arrow batch: stages of Python and of shuffles share executors that stay for the whole
+# pipeline, so what the pipes hold on both sides comes on top of a heap that is in use.
+BATCH_BYTES = 2_000_000
 
 
 def _lengths(docs: DataFrame) -> DataFrame:
@@ -23,6 +27,7 @@ def _lengths(docs: DataFrame) -> DataFrame:
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the pairwise ranker accepts."""
+    limit_batches(spark, BATCH_BYTES)
     ranker = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     score, accepted = (free_name(docs.columns, c) for c in ("score", "accepted"))
     scored = quality.score_quality(docs, ranker, keep=docs.columns, output=(score, accepted))
@@ -34,6 +39,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Documents are told apart by doc_id and text, so different texts of one doc_id are each judged alone.
     """
+    limit_batches(spark, BATCH_BYTES)
     groups = settle(ngram_join.similar_groups(docs).where("set_id is not null"), "groups")
     own, digest, one, other = (free_name(docs.columns, c) for c in ("own", "digest", "one", "other"))
     rows = docs.withColumns({own: F.col("doc_id").cast("long"), digest: ngram_join.text_key("text")})
@@ -54,6 +60,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with personal data replaced by the name of its kind."""
+    limit_batches(spark, BATCH_BYTES)
     spans, redacted = (free_name(docs.columns, c) for c in ("spans", "redacted"))
     found = private_data.find_private(docs, keep=docs.columns, redacted=True, output=(spans, redacted))
     return _lengths(found.withColumn("text", named(redacted)).select(*map(named, docs.columns)))
@@ -66,6 +73,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 ids."""
+    limit_batches(spark, BATCH_BYTES)
     return packing.pack_documents(docs)
 
 

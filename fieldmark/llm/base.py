@@ -7,7 +7,7 @@ import types
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,22 +55,45 @@ def broadcast_if(df: DataFrame, rows: int = 500_000) -> DataFrame:
 
 
 def worker_state(name: str, make):
-    """An object that is made once for each Python worker and lives as long as the worker."""
-    store = sys.modules.setdefault("_fieldmark_worker", types.ModuleType("_fieldmark_worker"))
+    """An object that is made once for each Python worker and lives until the worker serves another stage."""
+    store = _worker_store()
     if not hasattr(store, name):
         setattr(store, name, make())
     return getattr(store, name)
 
 
+def _worker_store() -> types.ModuleType:
+    return sys.modules.setdefault("_fieldmark_worker", types.ModuleType("_fieldmark_worker"))
+
+
+def enter_stage(stage: int) -> None:
+    """Drop what earlier stages left in this worker: Spark keeps workers, and so all their memory, for the whole session."""
+    kept = vars(_worker_store())
+    if kept.get("__stage__") != stage:
+        for name in [x for x in kept if not x.startswith("__")]:
+            del kept[name]
+        kept["__stage__"] = stage
+        pa.default_memory_pool().release_unused()
+
+
 def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """df.mapInArrow with batches of at most CHUNK_BYTES, as texts may be long.
 
     Sets the session's limit, if it is higher: both sides of the pipe hold whole batches.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(str(conf.get(name)).rstrip("b") or 0) <= CHUNK_BYTES:
-        conf.set(name, f"{CHUNK_BYTES}b")
-    return df.mapInArrow(run, schema)
+    def of_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter_stage(TaskContext.get().stageId())
+        yield from run(batches)
+
+    limit_batches(df.sparkSession, CHUNK_BYTES)
+    return df.mapInArrow(of_stage, schema)
+
+
+def limit_batches(spark: SparkSession, most: int) -> None:
+    """Let the session's Arrow batches hold at most so many bytes; a lower limit stays."""
+    conf, name = spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(str(conf.get(name)).rstrip("b") or 0) <= most:
+        conf.set(name, f"{most}b")
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:

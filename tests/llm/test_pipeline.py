@@ -53,3 +53,29 @@ def test_queries_equal_sql(spark, name):
     from check import compare, connect
 
     assert compare(QUERIES[name](spark, SF), connect(SF), ORACLES[name]) is None
+
+
+def test_workers_keep_nothing_of_earlier_stages(spark):
+    import pyarrow as pa
+
+    from fieldmark.llm.base import _worker_store, in_arrow, worker_state
+
+    def using(name):
+        def run(batches):
+            for _ in batches:
+                worker_state(name, lambda: bytearray(1000))
+                yield pa.RecordBatch.from_pydict({"held": [",".join(sorted(x for x in vars(_worker_store()) if x in ("one", "two")))]})
+        return [r["held"] for r in in_arrow(spark.range(8).coalesce(1), run, "held string").collect()]
+
+    assert using("one") == ["one"] and using("two") == ["two"]
+
+
+@pytest.mark.parametrize("stage", ["quality", "near_duplicates", "private_data", "packing"])
+def test_batches_of_the_pipeline_are_bounded(spark, stage):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    try:
+        dict(corpus_pipeline.STAGES)[stage](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+        assert int(spark.conf.get(name).rstrip("b")) <= 2_000_000
+    finally:
+        spark.conf.unset(name)
