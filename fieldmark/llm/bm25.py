@@ -20,6 +20,12 @@ SHARD_POSTINGS = 2_000_000
 GROUP_SHARDS = 4
 # Runs whose largest weights are found at once.
 _RUNS = 65_536
+# Most frequent terms of a shard, kept as a matrix of weights by document, and queries that meet it at once.
+COMMON_TERMS, QUERY_BLOCK = 512, 64
+# Relative error, at most, of single precision sums over that many terms (all positive).
+_ROUGH = 1e-4
+# Postings of candidates that are scored at once.
+_SCORED = 262_144
 
 _FIELDS = ["ids", "lengths", "terms", "ends", "postings", "counts"]
 
@@ -63,7 +69,8 @@ def _sorted_terms(pairs: str, field: str):
 
 
 class Shard:
-    """A shard in memory: postings by term and document, and the largest weight of each term in each block."""
+    """A shard in memory: postings by term and by document, the largest weight of each term in each block,
+    and the weights of the most frequent terms as a matrix in single precision, which only bounds scores."""
 
     def __init__(self, row: dict, average: float):
         kinds = (np.int64, np.int64, np.uint64, np.int64, np.uint16)
@@ -83,56 +90,94 @@ class Shard:
             weights = self._weights(slice(bounds[0], bounds[-1]))
             self.run_max[low:low + _RUNS] = np.maximum.reduceat(weights, bounds[:-1] - bounds[0])
         self.run_end = np.searchsorted(self.run_start, self.ends)
+        sizes = np.diff(self.ends, prepend=0)
+        common = np.sort(np.argsort(-sizes, kind="stable")[:COMMON_TERMS])
+        self.common = np.full(len(sizes), -1, np.int16)     # the matrix' row of a term, or -1
+        self.common[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), len(self.ids)), np.float32)
+        for row, term in enumerate(common):
+            spots = slice(self.ends[term] - sizes[term], self.ends[term])
+            self.matrix[row, self.doc[spots]] = self._weights(spots)
+        self.by_doc = np.argsort(self.doc, kind="stable").astype(np.int32)      # terms ascend within a document
+        self.doc_ends = np.cumsum(np.bincount(self.doc, minlength=len(self.ids)))
 
     def _weights(self, spots) -> np.ndarray:
         """Weights of some postings, without their terms' idf; made when needed, as they take eight bytes each."""
         counts = self.counts[spots].astype(np.float64)
         return counts * (K1 + 1) / (counts + self.norm[self.doc[spots]])
 
+    def _present(self, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the terms that the shard holds, and their idf."""
+        if not len(self.terms):
+            return np.empty(0, np.int64), np.empty(0)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        here = self.terms[at] == terms
+        return at[here], idf[here]
+
+    def meet(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each query (terms, idf): its terms' places, their idf, and what common terms add to every document, roughly."""
+        for low in range(0, len(queries), QUERY_BLOCK):
+            found = [self._present(*q) for q in queries[low:low + QUERY_BLOCK]]
+            asked = np.zeros((len(found), len(self.matrix)), np.float32)
+            for i, (at, idf) in enumerate(found):
+                row = self.common[at]
+                asked[i, row[row >= 0]] = idf[row >= 0]
+            yield from ((*f, sums) for f, sums in zip(found, asked @ self.matrix))
+
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """`best` for one query of terms and their idf."""
+        return self.best(*next(self.meet([(terms, idf)])), k, floor)
+
+    def best(self, at: np.ndarray, idf: np.ndarray, sums: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """(doc_id, score) of the best k documents that hold a term; equal scores at the end are all kept.
 
         `floor` is a score that k documents of other shards are known to reach; lower ones may be left out.
 
-        Blocks are visited by decreasing bound, the sum of their terms' largest weights;
-        once k scores are known, blocks whose bound is below the least of them are skipped.
+        Blocks whose bound, the sum of their terms' largest weights, is below the floor are skipped. In the
+        others the postings of rare terms are added to the sums of common ones. That tells each score but
+        for rounding; documents that may be among the best are then scored exactly, term by term.
         """
-        if not len(self.terms):
-            return np.empty(0, np.int64), np.empty(0)
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        here = self.terms[at] == terms
-        at, idf = at[here], idf[here]
         first = np.where(at > 0, self.run_end[at - 1], 0)
-        runs = _ranges(first, self.run_end[at] - first)
-        gain = np.repeat(idf, self.run_end[at] - first)
+        sizes = self.run_end[at] - first
+        runs, gain = _ranges(first, sizes), np.repeat(idf, sizes)
         block = self.run_block[runs]
         bound = np.bincount(block, weights=gain * self.run_max[runs], minlength=self.blocks)
-        # Runs by decreasing bound of their block, without blocks below the floor; within a block terms stay in order.
-        # Sums of bounds and scores may differ by rounding.
-        open_runs = (bound * (1 + 1e-9) >= floor)[block]
-        runs, gain, block = runs[open_runs], gain[open_runs], block[open_runs]
-        visit = np.argsort(-bound, kind="stable")
-        place = np.empty(self.blocks, np.int16)  # at most SHARD_DOCS / BLOCK_DOCS, sorted by digits
-        place[visit] = np.arange(self.blocks)
-        order = np.argsort(place[block], kind="stable")
-        runs, gain, upto = runs[order], gain[order], np.cumsum(np.bincount(place[block], minlength=self.blocks))
-        sorted_bound = bound[visit]
-        best_doc, best, threshold, start, step = np.empty(0, np.int64), np.empty(0), floor, 0, 2
-        while start < self.blocks and sorted_bound[start] > 0 and sorted_bound[start] * (1 + 1e-9) >= threshold:
-            stop = min(start + step, int(np.searchsorted(-sorted_bound * (1 + 1e-9), -threshold, "right")))
-            low = upto[start - 1] if start else 0
-            some, factor = runs[low:upto[stop - 1]], gain[low:upto[stop - 1]]
-            sizes = self.run_start[some + 1] - self.run_start[some]
-            spots = _ranges(self.run_start[some], sizes)
-            score = np.bincount(self.doc[spots], weights=self._weights(spots) * np.repeat(factor, sizes))
-            hit = np.flatnonzero(score > 0)
-            best_doc, best = np.concatenate([best_doc, hit]), np.concatenate([best, score[hit]])
-            if len(best) > k:
-                threshold = max(threshold, np.partition(best, len(best) - k)[len(best) - k])
-                keep = best >= threshold
-                best_doc, best = best_doc[keep], best[keep]
-            start, step = stop, step * 2
-        return self.ids[best_doc], best
+        is_open = (bound > 0) & (bound * (1 + 1e-9) >= floor)   # sums of bounds and scores may differ by rounding
+        if not is_open.any():
+            return np.empty(0, np.int64), np.empty(0)
+        rare = np.flatnonzero(is_open[block] & np.repeat(self.common[at] < 0, sizes))
+        runs, gain = runs[rare], gain[rare]
+        sizes = self.run_start[runs + 1] - self.run_start[runs]
+        spots = _ranges(self.run_start[runs], sizes)
+        about = np.bincount(self.doc[spots], weights=self._weights(spots) * np.repeat(gain, sizes), minlength=len(self.ids)) + sums
+        about[~np.repeat(is_open, BLOCK_DOCS)[:len(about)]] = 0
+        maybe = np.flatnonzero((about > 0) & (about * (1 + _ROUGH) >= floor))
+        if len(maybe) > k:
+            about = about[maybe]
+            least = np.partition(about, len(about) - k)[len(about) - k] * (1 - _ROUGH)
+            maybe = maybe[about * (1 + _ROUGH) >= least]
+        score = self._scores(maybe, at, idf)
+        if len(score) > k:
+            keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+            maybe, score = maybe[keep], score[keep]
+        return self.ids[maybe], score
+
+    def _scores(self, docs: np.ndarray, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Exact scores of some documents: their own postings, those of the query's terms, in the order of terms."""
+        ends = self.ends[at]
+        starts = np.where(at > 0, self.ends[at - 1], 0)
+        first = np.where(docs > 0, self.doc_ends[docs - 1], 0)
+        sizes = self.doc_ends[docs] - first
+        piece = np.cumsum(sizes) // _SCORED
+        out = []
+        for one in np.unique(piece):
+            some = np.flatnonzero(piece == one)
+            spots = self.by_doc[_ranges(first[some], sizes[some])]
+            term = np.minimum(np.searchsorted(ends, spots, "right"), len(ends) - 1)
+            mine = np.flatnonzero((starts[term] <= spots) & (spots < ends[term]))
+            doc = np.repeat(np.arange(len(some)), sizes[some])[mine]
+            out.append(np.bincount(doc, weights=self._weights(spots[mine]) * idf[term[mine]], minlength=len(some)))
+        return np.concatenate(out) if out else np.empty(0)
 
 
 def _index(docs: DataFrame) -> DataFrame:
@@ -216,25 +261,34 @@ def search(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: st
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, group = [], None
         for batch in batches:
-            out = []
+            asked, out = [], []
+
+            def flush():
+                floors, best = [0.0] * len(asked), [(np.empty(0, np.int64), np.empty(0))] * len(asked)
+                for shard in held:
+                    for i, met in enumerate(shard.meet([q[1:] for q in asked])):
+                        found, score = (np.concatenate(c) for c in zip(best[i], shard.best(*met, k, floors[i])))
+                        if len(found) >= k:
+                            top = np.lexsort((found, -score))[:k]
+                            found, score, floors[i] = found[top], score[top], score[top[-1]]
+                        best[i] = found, score
+                out.extend((np.full(len(found), q[0], np.int64), found, score) for q, (found, score) in zip(asked, best))
+                asked.clear()
+
             for i, (part, number, q) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "batch", "query_id")))):
                 if part == 0:
                     if number != group:
+                        flush()
                         held, group = [], number  # one group at a time
                     held.append(Shard({f: batch.column(f"shard_{f}")[i].as_buffer() for f in _FIELDS}, average))
                     continue
                 term = batch.column("terms")[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
                 df = batch.column("dfs")[i].values.to_numpy(zero_copy_only=False)
                 ascending = np.argsort(term)
-                terms, idf = term[ascending], np.log1p((total - df + 0.5) / (df + 0.5))[ascending]
-                found, score, floor = np.empty(0, np.int64), np.empty(0), 0.0
-                for shard in held:
-                    more = shard.search(terms, idf, k, floor)
-                    found, score = np.concatenate([found, more[0]]), np.concatenate([score, more[1]])
-                    if len(found) >= k:
-                        best = np.lexsort((found, -score))[:k]
-                        found, score, floor = found[best], score[best], score[best[-1]]
-                out.append((np.full(len(found), q, np.int64), found, score))
+                asked.append((q, term[ascending], np.log1p((total - df + 0.5) / (df + 0.5))[ascending]))
+                if len(asked) == QUERY_BLOCK:
+                    flush()
+            flush()
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "doc_id", "score"])
 

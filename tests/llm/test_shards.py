@@ -70,3 +70,30 @@ def test_shards_of_many_blocks_find_the_best_and_skip_postings(k):
         assert ids[best].tolist() == order
         assert np.allclose(scores[best], want[order], rtol=1e-12)
     assert 0 < sum(read) < full
+
+
+def test_postings_of_common_terms_are_not_read_for_each_query():
+    """Common words fill the lists; only rare ones and the documents that may be among the best are read."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join([*(f"c{w}" for w in rng.permutation(120)[:rng.integers(60, 100)]), *(f"r{w}" for w in rng.integers(0, 4_000, 12))])
+             for _ in range(900)]
+    average = np.mean([len(t.split()) for t in texts])
+    df = {}
+    for t in texts:
+        for w in set(t.split()):
+            df[w] = df.get(w, 0) + 1
+    columns = bm25.build_shard(list(range(900)), [bm25.term_hashes(t) for t in texts])
+    shard, read, full = bm25.Shard({f: pa.py_buffer(c) for f, c in zip(bm25._FIELDS, columns)}, average), [], 0
+    whole = shard._weights
+    shard._weights = lambda spots: read.append(len(spots)) or whole(spots)
+    for i in (0, 100, 500):
+        terms = bm25.term_hashes(texts[i])[0]
+        by_hash = {int(bm25.term_hashes(w)[0][0]): w for w in set(texts[i].split())}
+        found = np.array([df[by_hash[int(t)]] for t in terms], float)
+        full += int(found.sum())
+        ids, scores = shard.search(terms, np.log1p((900 - found + 0.5) / (found + 0.5)), 10)
+        want = _scores(texts, texts[i], df, average)
+        order = np.lexsort((np.arange(900), -want))[:10]
+        assert ids[np.lexsort((ids, -scores))].tolist()[:10] == order.tolist()
+        assert np.allclose(np.sort(scores)[::-1][:10], want[order], rtol=1e-12)
+    assert sum(read) < full / 10
