@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.base import settle
+from fieldmark.session import discard
+from fieldmark.session import settle_lean as settle
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,6 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        now = settle(_star(settle(_star(now, True), "links"), False), "links")
+        wide = settle(_star(now, True), "links")
+        before, now = now, settle(_star(wide, False), "links")
+        discard(before, wide)
     return (now.select(F.col("b").alias("node"), F.col("a").alias("component"))
             .unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()))

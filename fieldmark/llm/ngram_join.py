@@ -10,9 +10,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.base import broadcast_if, chunks, in_arrow, named, settle
+from fieldmark.llm.base import broadcast_if, chunks, in_arrow, named
 from fieldmark.llm.components import components
 from fieldmark.session import discard
+from fieldmark.session import settle_lean as settle
 
 WORDS = 5
 PERCENT = 80
@@ -107,8 +108,10 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "key"), F.lit(SAMPLE_SHARE)) == 0)
-    rows = (_sets(sample, words).select(F.explode("tokens").alias("token")).groupBy("token").count()
-            .where(F.col("count") >= SAMPLE_COUNT).orderBy(F.desc("count"), "token").limit(FREQUENT).select("token").toPandas())
+    kept = settle(_sets(sample, words).select(F.explode("tokens").alias("token")).groupBy("token").count()
+                  .where(F.col("count") >= SAMPLE_COUNT).orderBy(F.desc("count"), "token").limit(FREQUENT).select("token"), "frequent")
+    rows = kept.toPandas()
+    discard(kept)
     return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
 
 
