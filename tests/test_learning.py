@@ -342,3 +342,35 @@ def test_neighbours_hold_few_distances_at_once():
         order = np.lexsort((np.arange(4_000)[::-1], distance[i]))[:7]
         mine = found[found["id"] == i]
         assert mine["neighbour"].tolist() == (3_999 - order).tolist() and mine["distance"].tolist() == distance[i][order].tolist()
+
+
+def test_starts_of_k_means_in_one_task(spark, tmp_path):
+    """One job for all starts of rows that fit a task, at most the cost of Spark's starts; the model is saved like Spark's."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 3)) + 8 * np.eye(4, 3)[rng.integers(0, 4, 200)]
+    df = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x)], ["id", "x"]).cache()
+    df.count()
+
+    def members(model) -> np.ndarray:
+        rows = model.transform(df).orderBy("id").select(vector_to_array("c").alias("c")).collect()
+        return np.array([r["c"] for r in rows])[:, 3:].argmax(axis=1)
+
+    def cost(found: np.ndarray) -> float:
+        return sum(((x[found == g] - x[found == g].mean(axis=0)) ** 2).sum() for g in set(found.tolist()))
+
+    spark.sparkContext.setJobGroup("starts", "k-means")
+    model = fit_clusters("kmeans", df, "x", "c", rows=200)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("starts"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 3
+    found = members(model)
+    assert cost(found) <= cost(members(fit_clusters("kmeans", df, "x", "c"))) * (1 + 1e-9)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    assert (members(PipelineModel.load(str(tmp_path / "m"))) == found).all()
+    same = spark.createDataFrame([(i, Vectors.dense([float(i % 2)])) for i in range(6)], ["id", "x"])
+    rows = fit_clusters("kmeans", same, "x", "c", rows=6).transform(same).select("id", vector_to_array("c").alias("c")).collect()
+    assert len({tuple(r["c"]) for r in rows}) == 2
