@@ -176,6 +176,33 @@ def test_sweep_and_refit(spark, tmp_path):
                                                 models=("nope",), cv_folds=2), effort=SHORT)
 
 
+def test_failing_cell_is_no_shorter_board(spark, tmp_path, monkeypatch):
+    """Without a run log a board that lacks cells would look whole: the sweep fails, after it tried every cell."""
+    from fieldmark.plans import sweep as plan
+
+    silver = spark.createDataFrame([(i, float(i % 2 + i % 7), i % 2) for i in range(60)], "id long, a double, label int")
+    one, tried = plan.run_cell, []
+
+    def run(cell, parts, effort):
+        tried.append(cell.model)
+        if cell.model == "svm_linear":
+            raise MemoryError("lost executor")
+        return one(cell, parts, effort)
+
+    monkeypatch.setattr(plan, "run_cell", run)
+    cfg = SweepConfig(datasets=("d",), reducers=("none",), clustering=("none",), cv_folds=2, sample_rows=0,
+                      models=("svm_linear", "knn"))
+    with pytest.raises(RuntimeError, match="none.k-1.none.svm_linear.*lost executor"):
+        sweep(spark, {"d": silver}, cfg, effort=SHORT)
+    assert sorted(tried) == ["knn", "svm_linear"]
+    assert [r["model"] for r in sweep(spark, {"d": silver}, cfg, effort=SHORT, runs_path=str(tmp_path / "runs")).collect()] == ["knn"]
+    log = runs.read_runs(spark, str(tmp_path / "runs")).where("status = 'FAILED'").collect()
+    assert [(r["model"], r["params"]["error"]) for r in log] == [("svm_linear", "lost executor")]
+    broken = SweepConfig(datasets=("d", "e"), reducers=("none",), clustering=("none",), cv_folds=2, models=("knn",))
+    with pytest.raises(RuntimeError, match="failed.*: e;"):
+        sweep(spark, {"d": silver, "e": silver.drop("label")}, broken, effort=SHORT)
+
+
 def _team_games(spark, n=160):
     rng = np.random.default_rng(6)
     form = rng.normal(size=n)
