@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from fieldmark.llm import bm25
 
@@ -97,3 +98,48 @@ def test_postings_of_common_terms_are_not_read_for_each_query():
         assert ids[np.lexsort((ids, -scores))].tolist()[:10] == order.tolist()
         assert np.allclose(np.sort(scores)[::-1][:10], want[order], rtol=1e-12)
     assert sum(read) < full / 10
+
+
+def test_queries_side_by_side_are_answered_as_alone_and_a_known_score_saves_exact_ones():
+    texts = [t for t in _texts(6, 1_000) if t]
+    columns = bm25.build_shard(list(range(len(texts))), [bm25.term_hashes(t) for t in texts])
+    shard = bm25.Shard({f: pa.py_buffer(c) for f, c in zip(bm25._FIELDS, columns)}, 40.0)
+    terms = [bm25.term_hashes(t)[0] for t in [*texts[:30], "nowhere", "w1"]]
+    asked = bm25.Asked([(t, 1 + (t % 7).astype(float)) for t in terms])     # an idf of its own for each term
+    alone = [shard.search(t, 1 + (t % 7).astype(float), 10) for t in terms]
+    floors = np.array([np.sort(s)[::-1][9] if len(s) >= 10 else 0.0 for _, s in alone])
+    assert floors.max() > 0
+    for given in (np.zeros(len(terms)), floors):
+        for (ids, scores), (want, exact) in zip(shard.best(asked, 10, given), alone):
+            assert ids.tolist() == want.tolist() and scores.tolist() == exact.tolist()
+    read, whole = [], shard._weights
+    shard._weights = lambda spots: read.append(len(spots)) or whole(spots)
+    assert all(len(s) == 0 for (_, s), floor in zip(shard.best(asked, 10, floors * 3 + 1e-3), floors) if floor)
+    assert sum(read) < 100
+
+
+def test_queries_meet_some_groups_first_and_miss_nothing_in_the_rest(spark, monkeypatch):
+    """Twenty groups, two of them first: the same as scoring every text, and the rest add few rows."""
+    monkeypatch.setattr(bm25, "SHARD_DOCS", 20)
+    monkeypatch.setattr(bm25, "GROUP_SHARDS", 1)
+    monkeypatch.setattr(bm25, "HOME_SHARE", 10)
+    texts = _texts(9, 400)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    asked = docs.where("doc_id % 40 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    kept, settle = [], bm25.settle
+    monkeypatch.setattr(bm25, "settle", lambda df, label="step": kept.append((label, settle(df, label))) or kept[-1][1])
+    found = {}
+    for r in bm25.search(docs, asked, k=5).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    average, df = np.mean([len((t or "").split()) for t in texts]), {}
+    for t in texts:
+        for w in set((t or "").split()):
+            df[w] = df.get(w, 0) + 1
+    for q in (i for i in range(0, 400, 40) if texts[i]):
+        want = _scores(texts, texts[q], df, average)
+        order = [i for i in np.lexsort((np.arange(400), -np.round(want, 9))) if want[i] > 0][:5]
+        assert [i for i, _ in found[q]] == order
+        assert np.allclose([s for _, s in found[q]], want[order], rtol=1e-12)
+    first = dict(kept)["first"]
+    assert first.groupBy("query_id").count().where("count > 10").count() == 0 < first.count()
+    assert dict(kept)["shards"].count() == 20
