@@ -401,3 +401,56 @@ def test_starts_of_k_means_in_one_task(spark, tmp_path):
     same = spark.createDataFrame([(i, Vectors.dense([float(i % 2)])) for i in range(6)], ["id", "x"])
     rows = fit_clusters("kmeans", same, "x", "c", rows=6).transform(same).select("id", vector_to_array("c").alias("c")).collect()
     assert len({tuple(r["c"]) for r in rows}) == 2
+
+
+def _clouds(spark, n=300, d=4):
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(12)
+    y = rng.integers(0, 2, n)
+    x = rng.normal(size=(n, d)) + y[:, None] * np.linspace(0.2, 1.2, d)
+    return x, y, spark.createDataFrame([(i, int(y[i]), Vectors.dense(x[i])) for i in range(n)], ["id", "label", "features"]).cache()
+
+
+@pytest.mark.parametrize("name", ["logistic_regression", "mlp"])
+def test_counted_rows_train_in_one_task(spark, tmp_path, name):
+    """Few jobs whatever the steps, at most the loss that Spark's learner reaches, saved like Spark's."""
+    x, y, df = _clouds(spark)
+    df.count()
+    effort = classifiers.Effort(linear_iterations=200, network_iterations=40)
+
+    def loss(model) -> float:
+        p = np.array([r["score"] for r in model.predict(df).orderBy("id").collect()]).clip(1e-12, 1 - 1e-12)
+        return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+
+    spark.sparkContext.setJobGroup("steps", name)
+    model = classifiers.fit(name, df, effort=effort, rows=300)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("steps"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 5
+    other = classifiers.fit(name, df, effort=effort)
+    assert loss(model) <= loss(other) * (1 + (1e-4 if name == "logistic_regression" else 0.25))
+    if name == "logistic_regression":
+        assert np.allclose(model.model.stages[0].coefficients.toArray(), other.model.stages[0].coefficients.toArray(), atol=2e-3)
+    model.model.write().overwrite().save(str(tmp_path / "m"))
+    again = PipelineModel.load(str(tmp_path / "m")).transform(df).orderBy("id").select("prediction").collect()
+    assert [r[0] for r in again] == [r["prediction"] for r in model.predict(df).orderBy("id").collect()]
+
+
+def test_network_slopes_and_steps():
+    from fieldmark.operators import networks
+
+    rng = np.random.default_rng(3)
+    x, label, layers = rng.normal(size=(40, 3)), rng.integers(0, 2, 40).astype(float), [3, 5, 4, 2]
+    size = sum((i + 1) * o for i, o in zip(layers, layers[1:]))
+    loss, w = networks._loss_of(x, label, layers), rng.normal(size=size)
+    value, slope = loss(w)
+    for i in range(size):
+        step = np.eye(size)[i] * 1e-6
+        assert abs((loss(w + step)[0] - loss(w - step)[0]) / 2e-6 - slope[i]) < 1e-7
+    assert loss(networks.descend(loss, w, 200))[0] < value / 10
+    valley = lambda v: (float(100 * (v[1] - v[0] ** 2) ** 2 + (1 - v[0]) ** 2),
+                        np.array([-400 * v[0] * (v[1] - v[0] ** 2) - 2 * (1 - v[0]), 200 * (v[1] - v[0] ** 2)]))
+    assert np.allclose(networks.descend(valley, np.array([-1.2, 1.0]), 200), 1, atol=1e-2)
+    one = networks.solve_line(x, np.ones(40), 1 / 40, 100)      # labels of one kind
+    assert np.isfinite(one).all() and one[-1] > 5
