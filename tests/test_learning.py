@@ -454,3 +454,15 @@ def test_network_slopes_and_steps():
     assert np.allclose(networks.descend(valley, np.array([-1.2, 1.0]), 200), 1, atol=1e-2)
     one = networks.solve_line(x, np.ones(40), 1 / 40, 100)      # labels of one kind
     assert np.isfinite(one).all() and one[-1] > 5
+
+
+@pytest.mark.parametrize("name", ["logistic_regression", "mlp"])
+def test_missing_labels_and_values_are_refused_in_one_task_as_by_spark(spark, name):
+    few = classifiers.Effort(linear_iterations=5, network_iterations=5)
+    points = _points(spark)
+    for bad in (points.withColumn("label", F.when(F.col("id") != 7, F.col("label"))),
+                points.withColumn("features", F.when(F.col("id") != 7, F.col("features")).otherwise(
+                    array_to_vector(F.array(F.lit(float("nan")), F.lit(0.0)))))):
+        for rows in (60, None):
+            with pytest.raises(Exception, match="(?i)must not be"):
+                classifiers.fit(name, bad, effort=few, rows=rows)
